@@ -3,11 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, read
+from quarry.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
+from quarry.llm.common import fresh, materialize, read
 
-STAGES: list = []
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality_rules.filter_documents(docs, read(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go from the texts; n_chars follows, and a document
+    that loses lines and has no word left goes."""
+    (n,) = fresh(docs, "quarry_removed")
+    out = line_dedup.dedup_lines(docs, removed_col=n)
+    out = out.filter((F.col(n) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.when(F.col(n) == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items go."""
+    return decontaminate.remove(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents, and in how many epochs, that meet the target weights."""
+    return mixing.mix_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_copies),
+    ("benchmark_decontamination", benchmarks),
+    ("mixing_sources", mix),
+]
+
+#: Hashed n-gram scores and the path hashes of the join have no SQL form; the tests compare
+#: the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,10 +1,12 @@
-"""The registered queries of this subpackage."""
+"""The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import line_dedup, ngram_join, quality_rules
+from . import decontaminate, line_dedup, mixing, ngram_join, quality_rules
 
 QUERIES = {
-    "op9_quality_rules": quality_rules.query,
-    "op4_line_dedup": line_dedup.query,
     "op2_ngram_jaccard_join": ngram_join.query,
+    "op3_mixing_sources": mixing.query,
+    "op4_line_dedup": line_dedup.query,
+    "op5_benchmark_decontamination": decontaminate.query,
+    "op9_quality_rules": quality_rules.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing_sources": mixing.ORACLE_SQL}
