@@ -1,12 +1,14 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontaminate, line_dedup, mixing, ngram_join, quality_rules
+from . import decontaminate, language_id, line_dedup, mixing, ngram_join, quality_rules, token_counts
 
 QUERIES = {
+    "op1_language_id": language_id.query,
     "op2_ngram_jaccard_join": ngram_join.query,
     "op3_mixing_sources": mixing.query,
     "op4_line_dedup": line_dedup.query,
     "op5_benchmark_decontamination": decontaminate.query,
+    "op6_token_counts": token_counts.query,
     "op9_quality_rules": quality_rules.query,
 }
 ORACLE_SQL: dict[str, str] = {"op3_mixing_sources": mixing.ORACLE_SQL}
