@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontaminate, language_id, line_dedup, mixing, ngram_join, quality_rules, token_counts
+from . import decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, token_counts, unit_dedup
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -9,6 +9,9 @@ QUERIES = {
     "op4_line_dedup": line_dedup.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_token_counts": token_counts.query,
+    "op7_html_extraction": html_text.query,
+    "op8_secret_scans": secret_scan.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_substring_dedup": unit_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {"op3_mixing_sources": mixing.ORACLE_SQL}
