@@ -8,8 +8,8 @@ and are represented by one. Representatives are split recursively:
   representatives share, so similar sets choose the same ones; each (run, shingle) is a bucket.
 * Buckets of one go no further. Buckets above `bucket` are split again: by tokens of a
   128-part one-permutation sketch of the set, about `deep_fan` of them, up to `depth` times.
-  A bucket of unlike documents that share a few hot shingles falls apart; what does
-  not fall apart is a group of near copies.
+  A bucket of unlike documents that share a few hot shingles falls apart; a bucket whose rows
+  are alike on average is a group of near copies and is compared as it is.
 * Buckets are compared by brute force, in blocks of `bucket` rows when larger, so no
   task holds an unbounded group. Sketches first name candidates; then the
   whole sets of just those documents are compared exactly. A pair counts in
@@ -48,6 +48,8 @@ DEEP_FAN = 1.25
 DEPTH = 5
 BUCKET = 512
 PARTS = 128
+#: Mean likeness from which a large bucket counts as a group of near copies: half the threshold.
+DENSE = 0.4
 #: Sketches name candidates from this similarity on; at 0.8 an estimate is this low once in 10^6.
 SLACK = 0.22
 
@@ -257,7 +259,7 @@ def _token_sets(width: int):
     return run
 
 
-def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: Fraction = THRESHOLD, runs: int = RUNS, fan: float = FAN, deep_fan: float = DEEP_FAN, depth: int = DEPTH, bucket: int = BUCKET, slack: float = SLACK) -> DataFrame:
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: Fraction = THRESHOLD, runs: int = RUNS, fan: float = FAN, deep_fan: float = DEEP_FAN, depth: int = DEPTH, bucket: int = BUCKET, dense: float = DENSE, slack: float = SLACK) -> DataFrame:
     """A row for each distinct (id, shingle set) of docs: doc (the id), node (a hash of the set), size (of the set),
     class (the least id of its class), n_links (other sets at `threshold` or more), n_copies (other rows of
     the same set)."""
@@ -272,7 +274,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     whole = some.select("doc", "keys", "sk", node.alias("of")).join(classes, (F.col("of") == F.col("node")) & F.col("doc").eqNullSafe(F.col("rep")))
     reps = materialize(whole.select("node", "rep", "keys", "sk").dropDuplicates(["node"]))
 
-    leaves = _leaves(reps, depth, bucket, deep_fan)
+    leaves = _leaves(reps, depth, bucket, deep_fan, dense)
     rows = leaves.groupBy("node").agg(F.collect_list(F.struct(F.col("key").alias("leaf"), "n")).alias("all")).join(reps.select("node", "sk"), "node")
     rows = rows.select("node", "sk", F.col("all.leaf").alias("leaves"), F.explode("all").alias("x"))
     rows = rows.select("node", "sk", "leaves", F.col("x.leaf").alias("leaf"), F.ceil(F.col("x.n") / bucket).cast("int").alias("blocks"))
@@ -301,8 +303,19 @@ def _by_group(df: DataFrame) -> DataFrame:
     return df.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
 
 
-def _leaves(reps: DataFrame, depth: int, bucket: int, deep_fan: float) -> DataFrame:
-    """(key, node, n): the buckets of two or more that are compared, with their sizes."""
+def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, sk, pivot) -> (key, like): the estimated similarity of the two sketches."""
+    for b in batches:
+        if b.num_rows:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, PARTS) for i in (1, 2))
+            like = ((x == y) & (x != 0)).sum(1) / np.maximum(((x != 0) | (y != 0)).sum(1), 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(like)], ["key", "like"])
+
+
+def _leaves(reps: DataFrame, depth: int, bucket: int, deep_fan: float, dense: float) -> DataFrame:
+    """(key, node, n): the buckets of two or more that are compared, with their sizes. A large bucket whose
+    rows are on average `dense` like one of them, chosen by hash, is a group of near copies: splitting it
+    further would only repeat it, so it is compared as it is."""
     now, leaves = reps.select("node", F.explode("keys").alias("key")), None
     for level in range(depth + 1):
         counts = now.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -312,7 +325,12 @@ def _leaves(reps: DataFrame, depth: int, bucket: int, deep_fan: float) -> DataFr
         large = counted.filter(F.col("n") > bucket)
         if level == depth or not large.head(1):
             break
-        now = materialize(large.join(reps.select("node", "sk"), "node").select("key", "node", "sk").mapInArrow(_deeper(deep_fan), "key long, node long").distinct())
+        wide = materialize(large.join(reps.select("node", "sk"), "node").select("key", "node", "n", "sk"))
+        pivot = wide.groupBy("key").agg(F.min_by("sk", F.xxhash64("key", "node")).alias("pivot"))
+        like = wide.join(pivot, "key").select("key", "sk", "pivot").mapInArrow(_likeness, "key long, like double")
+        alike = materialize(like.groupBy("key").agg(F.avg("like").alias("like")).filter(F.col("like") >= dense).select("key"))
+        leaves = leaves.unionByName(wide.join(alike, "key", "left_semi").select("key", "node", "n"))
+        now = materialize(wide.join(alike, "key", "left_anti").select("key", "node", "sk").mapInArrow(_deeper(deep_fan), "key long, node long").distinct())
     return leaves
 
 
