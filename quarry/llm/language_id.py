@@ -189,11 +189,14 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
     """A model of the labelled documents of docs; which may be learned from is the caller's choice."""
     rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter("doc is not null and text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # About three times the sample passes the hash's cut, however large a language is; then the least hashes stay.
-    some = rows.join(sizes, "lang").withColumn("h", F.xxhash64("doc")).filter(F.pmod("h", F.lit(1 << 30)) * F.col("n") < F.lit(3 * per_language * (1 << 30)))
-    order = Window.partitionBy("lang").orderBy("h", "doc", F.xxhash64("text"))
-    sample = some.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("lang", "text")
+    # Ids alone are shuffled. About three times the sample passes the hash's cut, however large
+    # a language is; then the least hashes stay.
+    ids = rows.select("doc", "lang", F.xxhash64("doc").alias("h")).distinct()
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    some = ids.join(sizes, "lang").filter(F.pmod("h", F.lit(1 << 30)) * F.col("n") < F.lit(3 * per_language * (1 << 30)))
+    picked = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc"))).filter(F.col("r") <= per_language).select("doc", "lang")
+    # Broadcast: per_language ids for each language at most.
+    sample = rows.join(F.broadcast(picked), ["doc", "lang"]).select("lang", "text")
 
     def count(batches):
         import pyarrow as pa
