@@ -48,7 +48,8 @@ CLOSES = {
 }
 _SCOPE = frozenset(["table", "td", "th", "caption", "html", "button"])
 
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)(/?)>)", re.S)
+#: A tag without its "<" and ">"; possessive, so a scan is linear.
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
@@ -93,16 +94,40 @@ def parse(markup: str) -> Node:
         if found:
             pop_to(found)
 
-    while at < n:
-        m = _TAG.search(markup, at)
-        text = markup[at : m.start() if m else n]
+    def say(text: str) -> None:
         if text:
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
-        if not m:
+
+    while at < n:
+        lt = markup.find("<", at)
+        if lt < 0:
+            say(markup[at:])
             break
-        at = m.end()
-        if m[2] is None:
+        after = markup[lt + 1 : lt + 3]
+        if after[:1] in ("!", "?") or after[:1] == "/" and not after[1:].isalpha():
+            say(markup[at:lt])
+            if markup.startswith("<!--", lt):
+                end = lt + 5 if markup.startswith("<!-->", lt) else lt + 6 if markup.startswith("<!--->", lt) else markup.find("-->", lt + 4) + 3
+                at = end if end > lt else n
+            else:
+                at = markup.find(">", lt) + 1 or n
+            continue
+        if not (after[:1] == "/" or after[:1].isalpha() and after[:1].isascii()):
+            end = lt + 1
+            while markup.startswith("<", end):
+                end += 1
+            if markup[end : end + 1].isalpha() or markup[end : end + 1] in ("/", "!", "?"):
+                end -= end > lt + 1
+            say(markup[at:end])
+            at = end
             continue
+        m = _TAG.match(markup, lt + 1)
+        if not m:  # never closed: the rest is text
+            say(markup[at:])
+            break
+        say(markup[at:lt])
+        at = m.end()
+        closed = m[3].endswith("/")
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
@@ -131,7 +156,7 @@ def parse(markup: str) -> Node:
             at = end.end() if end else n
             if inner:
                 node.children.append(html.unescape(inner) if tag in ("title", "textarea") else inner)
-        elif tag not in VOID and not (m[4] and tag in ("svg", "math")):
+        elif tag not in VOID and not (closed and tag in ("svg", "math")):
             stack.append(node)
             counts[tag] = counts.get(tag, 0) + 1
     return root
