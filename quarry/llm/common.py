@@ -50,6 +50,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(columns: list[str], names: list[str]) -> list[str]:
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut so that few whole texts are Python objects at a time."""
     for batch in batches:
@@ -111,11 +116,13 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 def per_text(df: DataFrame, text: str, fields: str, kernel: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
     """df's columns `keep` (all by default) with `fields` (a DDL list) computed from the column `text`.
-    kernel() is called once a task and gives the function from a list of texts to the arrays of `fields`."""
+    kernel() is called once a task and gives the function from a list of texts to the arrays of `fields`.
+    A kept column that has the name of a field gives way to it."""
     from pyspark.sql import types as T
 
-    keep = df.columns if keep is None else keep
-    schema = T.StructType(list(df.select(*keep).schema.fields) + list(T._parse_datatype_string(fields).fields))
+    made = T._parse_datatype_string(fields).fields
+    keep = without(df.columns if keep is None else keep, [f.name for f in made])
+    schema = T.StructType(list(df.select(*keep).schema.fields) + list(made))
     src = df.select(*keep, df[text].alias(t := fresh(df, "quarry_text")[0]))
     n = len(keep)
 

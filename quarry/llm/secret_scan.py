@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, read
+from .common import per_text, read, without
 
 FINDINGS = 4000
 SEED = 11
@@ -249,7 +249,7 @@ def scan(docs: DataFrame, detector: Detector, *, text_col: str = "text", thresho
 
         return run
 
-    keep = docs.columns if keep is None else keep
+    keep = without(docs.columns if keep is None else keep, ["start", "end", "score", "quarry_found"])
     found = per_text(docs, text_col, "quarry_found array<struct<start:int,end:int,score:double>>", kernel, keep)
     return found.select(*keep, F.explode("quarry_found").alias("f")).select(*keep, "f.start", "f.end", "f.score")
 

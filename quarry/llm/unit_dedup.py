@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, read, slices
+from .common import fresh, materialize, read, slices, without
 
 MIN_WORDS = 20
 
@@ -94,7 +94,7 @@ def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", re
     ends = F.concat(removed["start"], F.array(F.char_length(text)))
     kept = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda x: x["end"] > x["start"])
     new = F.when(F.col(r).isNull(), text).otherwise(F.array_join(F.transform(kept, lambda x: F.substring(text, x["start"] + 1, x["end"] - x["start"])), ""))
-    return both.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns], removed.alias(removed_col), F.when(text.isNotNull(), kept).alias(kept_col))
+    return both.select(*[new.alias(c) if c == text_col else docs[c] for c in without(docs.columns, [removed_col, kept_col])], removed.alias(removed_col), F.when(text.isNotNull(), kept).alias(kept_col))
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -57,6 +57,6 @@ def test_query_finds_the_tables_tokens(spark, sf):
 
 def test_cases(spark, detector):
     docs = clashing(awkward(spark, [(60, 'secret = "Zk3vQ8pLx9Tr4Kw7Nd2m"', "en", "s", 1)] * 2))
-    rows = q.scan(docs, detector, keep=["doc_id"]).collect()
+    rows = q.scan(docs, detector).collect()
     assert [r.doc_id for r in rows] == [60, 60]
     assert q.scan(empty(spark), detector).count() == 0

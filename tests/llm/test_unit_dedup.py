@@ -57,10 +57,10 @@ def test_passages_inside_lines_are_found_and_offsets_kept(spark):
 
 def test_cases(spark):
     long = " ".join(f"unit words number {i} are here." for i in range(20))
-    docs = clashing(awkward(spark, [(70, long, "en", "s", 1), (71, long, "en", "s", 1), (71, long, "en", "s", 1), (None, long, "en", "s", 1)])).drop("removed", "kept")
+    docs = clashing(awkward(spark, [(70, long, "en", "s", 1), (71, long, "en", "s", 1), (71, long, "en", "s", 1), (None, long, "en", "s", 1)]))
     out = q.apply(docs)
     rows = out.select("doc_id", "text", "removed").collect()
-    assert len(rows) == docs.count() and out.columns[: len(docs.columns)] == docs.columns
+    assert len(rows) == docs.count() and set(docs.columns) <= set(out.columns)
     assert [r.text for r in rows if r.doc_id == 71] == ["", ""] and [r.text for r in rows if r.doc_id is None and r.text.startswith("unit")] == [long]
     assert [r.text for r in rows if r.doc_id == 70] == [""] and [r.text for r in rows if r.doc_id == 1] == [None]
     assert len([1 for r in rows if r.doc_id == 7 and r.removed == []]) == 2
