@@ -23,7 +23,7 @@ def specifier_package(s: Column) -> Column:
 
 
 def specifier_subpath(s: Column) -> Column:
-    return F.regexp_extract(s, "^(?:@[^/]+/[^/]+|[^/]*)/(.*)$", 1)
+    return F.regexp_extract(s, "^(?:@[^/]+/[^/]+|[^@/][^/]*)/(.*)$", 1)
 
 
 def package_dir(path: Column) -> Column:

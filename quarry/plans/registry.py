@@ -430,7 +430,7 @@ def longest_prefix_project(spark, d):
 
 @query(
     f"""WITH {_URL}, s AS (SELECT page_id, concat('@', path) AS spec FROM u WHERE page_id % 2 = 0 UNION ALL SELECT page_id, path FROM u WHERE page_id % 2 = 1)
-    SELECT page_id, regexp_extract(spec, '^(@[^/]+/[^/]+|[^/]*)', 1) AS package, regexp_extract(spec, '^(?:@[^/]+/[^/]+|[^/]*)/(.*)$', 1) AS subpath FROM s"""
+    SELECT page_id, regexp_extract(spec, '^(@[^/]+/[^/]+|[^/]*)', 1) AS package, regexp_extract(spec, '^(?:@[^/]+/[^/]+|[^@/][^/]*)/(.*)$', 1) AS subpath FROM s"""
 )
 def specifier_split(spark, d):
     s = _paths(spark, d).select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("@"), "path")).otherwise(F.col("path")).alias("spec"))
