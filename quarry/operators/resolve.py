@@ -118,7 +118,9 @@ def resolve_cross(refs: DataFrame, packages: DataFrame, nodes: DataFrame) -> Dat
     tails = F.when(F.col("sub") == "", F.array(*[F.lit(e) for e in ENTRY_FILES])).otherwise(F.concat(tried, F.transform(tried, lambda x: F.concat(F.lit("src/"), x))))
     exact = c.select("source_id", "raw_import", "package_id", "path", F.posexplode(tails).alias("pos", "tail")).withColumn("file_path", F.concat_ws("/", F.nullif("path", F.lit(".")), "tail"))
     own = nodes.filter("package_id is not null")
-    hits = exact.join(own, ["package_id", "file_path"]).select("source_id", "raw_import", "pos", "package_id", "file_path", "start_line", "node_id")
+    # A file's first symbol stands for it, so a candidate meets one row.
+    heads = own.groupBy("package_id", "file_path").agg(F.min(F.struct("start_line", "node_id")).alias("h")).select("package_id", "file_path", "h.start_line", "h.node_id")
+    hits = exact.join(heads, ["package_id", "file_path"]).select("source_id", "raw_import", "pos", "package_id", "file_path", "start_line", "node_id")
     any_of = own.groupBy("package_id").agg(F.min(F.struct("file_path", "start_line", "node_id")).alias("f"))
     rest = c.join(any_of, "package_id").select("source_id", "raw_import", F.lit(1000).alias("pos"), "package_id", F.col("f.file_path").alias("file_path"), F.col("f.start_line").alias("start_line"), F.col("f.node_id").alias("node_id"))
     best = hits.unionByName(rest).groupBy("source_id", "raw_import").agg(F.min(F.struct("pos", "package_id", "file_path", "start_line", "node_id")).alias("b"))

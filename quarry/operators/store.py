@@ -23,8 +23,10 @@ def dedup_max(edges: DataFrame, order: str = "ordinal") -> DataFrame:
 
 
 def dedup_first(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("first")).select(*key, *[F.col(f"first.{c}").alias(c) for c in rest])
+    """The first row of each key by `order`; of equals the one whose other columns are least."""
+    rest = [order, *[c for c in rows.columns if c not in key and c != order]]
+    first = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("first"))
+    return first.select(*[c if c in key else F.col(f"first.{c}").alias(c) for c in rows.columns])
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: list[str], replace: list[str] | None = None) -> DataFrame:

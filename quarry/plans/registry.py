@@ -326,7 +326,7 @@ def context_rank(spark, d):
 
 
 @query(
-    f"""WITH {ctes("nodes", "edges")}, ids AS (SELECT concat('c:', c_custkey) AS node_id FROM customer WHERE c_custkey BETWEEN 1 AND 40 UNION ALL SELECT concat('s:', s_suppkey) FROM supplier WHERE s_suppkey BETWEEN 1 AND 10),
+    f"""WITH {ctes("nodes", "edges")}, ids AS (SELECT concat('c:', i) AS node_id FROM range(1, 41) t(i) UNION ALL SELECT concat('s:', i) FROM range(1, 11) t(i)),
     b AS (SELECT target_id AS node_id, source_id AS t, CASE WHEN kind = 'calls' THEN 'called_by' ELSE 'imported_by' END AS sort, weight FROM edges WHERE kind IN ('calls', 'imports')
     UNION ALL SELECT source_id, target_id, kind, weight FROM edges WHERE kind IN ('calls', 'imports')),
     r AS (SELECT b.*, concat(n.qualified_name, ' [', n.alias, ']') AS label, row_number() OVER (PARTITION BY b.node_id, sort ORDER BY weight DESC, t) AS k FROM b JOIN nodes n ON b.t = n.node_id)
@@ -354,7 +354,7 @@ def edge_dedup(spark, d):
     return store.dedup_max(adapters.raw_edges(spark, d))
 
 
-@query(f"WITH {ctes('raw_edges')}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, kind ORDER BY ordinal) AS k FROM raw_edges) SELECT source_id, target_id, kind, weight, ordinal FROM r WHERE k = 1")
+@query(f"WITH {ctes('raw_edges')}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, kind ORDER BY ordinal, weight) AS k FROM raw_edges) SELECT source_id, target_id, kind, weight, ordinal FROM r WHERE k = 1")
 def edge_first(spark, d):
     return store.dedup_first(adapters.raw_edges(spark, d), store.EDGE_KEY, "ordinal")
 
