@@ -67,9 +67,12 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     src = docs.filter(docs[text_col].isNotNull()).select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
     all_units = materialize(src.mapInArrow(_rows(sentences), f"hi long, lo long, doc {kind}, th long, no int, start int, end int, words int"))
+    # Counts of digests alone first: most units occur once and go no further.
+    often = all_units.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi", "lo")
+    some = materialize(all_units.join(often, ["hi", "lo"], "left_semi"))
     place = F.struct("doc", "th", "no", "start")
-    first = all_units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi", "lo", "first")
-    later = all_units.join(first, ["hi", "lo"]).filter(place > F.col("first")).dropDuplicates(["doc", "th", "no"])
+    first = some.groupBy("hi", "lo").agg(F.min(place).alias("first"))
+    later = some.join(first, ["hi", "lo"]).filter(place > F.col("first")).dropDuplicates(["doc", "th", "no"])
     # Runs within a document: places that follow each other.
     run = F.col("no") - F.row_number().over(Window.partitionBy("doc", "th").orderBy("no"))
     runs = later.withColumn("run", run).groupBy("doc", "th", "run").agg(
