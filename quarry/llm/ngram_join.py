@@ -17,7 +17,7 @@ and are represented by one. Representatives are split recursively:
 
 A pair at the threshold shares 0.8 * fan * runs chosen shingles on average, Poisson
 distributed: at the defaults it is missed with a probability of 3e-6 if the buckets are small,
-and of about 1e-3 (measured in the tests) if every one must be split. Pairs never leave a task as rows:
+and, by an estimate, of about 1e-3 if every one must be split; the tests ask for 99 % of the links there. Pairs never leave a task as rows:
 a task gives each document's number of partners and a spanning forest of its pairs. The classes are the
 connected components of those forests.
 
