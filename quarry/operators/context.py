@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import materialize
 from ..schema import DEPENDENCY_KINDS
 from ..sources.adapters import Corpus
 
@@ -23,11 +24,12 @@ ANNOTATED, FULL_SOURCE, HEADER_TOKENS, BUDGET, LEAST_BUDGET = 20, 5, 20, 8000, 2
 def _near(corpus: Corpus, direction: str, top: int) -> Callable[[DataFrame, str], DataFrame]:
     own, other = ("source_id", "target_id") if direction == "out" else ("target_id", "source_id")
     names = corpus.nodes.select(F.col("node_id").alias("to"), F.coalesce("qualified_name", "name").alias("name"))
-    edges = corpus.edges.filter(F.col("kind").isin(list(DEPENDENCY_KINDS))).select(F.col(own).alias("from"), F.col(other).alias("to")).distinct()
+    edges = corpus.edges.filter(F.col("kind").isin(list(DEPENDENCY_KINDS))).select(F.col(own).alias("from"), F.col(other).alias("to"))
 
     def hop(ids: DataFrame) -> DataFrame:
         """(from, to, pos): the first `top` neighbours of each id, in the order of their names."""
-        some = edges.join(ids.select(F.col("node_id").alias("from")).distinct(), "from").join(names, "to")
+        # Only the edges of these ids are made distinct, not the whole table.
+        some = edges.join(ids.select(F.col("node_id").alias("from")).distinct(), "from").select("from", "to").distinct().join(names, "to")
         return some.withColumn("pos", F.row_number().over(Window.partitionBy("from").orderBy(F.asc_nulls_last("name"), "to"))).filter(F.col("pos") <= top).select("from", "to", "pos")
 
     return hop
@@ -39,6 +41,7 @@ def expand(corpus: Corpus, hits: DataFrame) -> DataFrame:
     base = seeds.select("query_id", "seed_rank", F.lit(0).alias("step"), "node_id", "similarity", F.lit(1.0).alias("weight"))
     first = seeds.join(_near(corpus, "out", OUT[0])(seeds), F.col("node_id") == F.col("from"))
     one = first.select("query_id", "seed_rank", (F.col("pos") * 10).alias("step"), F.col("to").alias("node_id"), "similarity", F.lit(OUT[1]).alias("weight"))
+    one = materialize(one)  # five rows for a seed at most, used twice
     second = one.drop("weight").join(_near(corpus, "out", OUT2[0])(one), F.col("node_id") == F.col("from"))
     two = second.select("query_id", "seed_rank", (F.col("step") + F.col("pos")).alias("step"), F.col("to").alias("node_id"), "similarity", F.lit(OUT2[1]).alias("weight"))
     behind = seeds.join(_near(corpus, "in", BACK[0])(seeds), F.col("node_id") == F.col("from"))
@@ -125,7 +128,7 @@ def assemble(corpus: Corpus, hits: DataFrame, budget: int = BUDGET, count: Calla
     cols = [F.coalesce(c, F.lit("")).alias(c) if c in corpus.nodes.columns else F.lit("").alias(c) for c in ("file_path", "signature", "docstring", "source_code", "alias")]
     wide = best.join(corpus.nodes.select("node_id", F.coalesce("qualified_name", "name").alias("qualified_name"), *cols), "node_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "qualified_name", "node_id")
-    wide = wide.withColumn("place", F.row_number().over(order))
+    wide = materialize(wide.withColumn("place", F.row_number().over(order)))  # a few hundred rows a query, used twice
     notes = annotations(corpus, wide.filter(F.col("place") <= ANNOTATED))
     none = F.array().cast("array<string>")
     four = ["called_by", "calls", "imported_by", "imports"]

@@ -47,8 +47,8 @@ def reachable(corpus: Corpus, start: str, direction: str, max_depth: int | None
     among them."""
     depth = clamp_depth(max_depth)
     own, other = ("source_id", "target_id") if direction == "out" else ("target_id", "source_id")
-    steps = corpus.edges.filter(F.col("kind").isin(list(kinds))).select(F.col(own).alias("a"), F.col(other).alias("b")).distinct()
-    steps = materialize(steps)
+    steps = corpus.edges.filter(F.col("kind").isin(list(kinds))).select(F.col(own).alias("a"), F.col(other).alias("b"))
+    steps = materialize(steps)  # not made distinct: each frontier is
     seen = front = steps.filter(F.col("a") == start).select(F.col("b").alias("node_id")).distinct().withColumn("min_depth", F.lit(1))
     for level in range(2, depth + 1):
         front = front.join(steps, F.col("node_id") == F.col("a")).select(F.col("b").alias("node_id")).distinct().join(seen.select("node_id"), "node_id", "left_anti").withColumn("min_depth", F.lit(level))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import materialize
 from ..functions import text as tx
 from ..operators import context, graph, limits, resolve, search, store
 from ..sources import adapters
@@ -304,8 +305,15 @@ UNION ALL SELECT query_id, seed_rank, CAST(step + o3.pos AS INT), o3.t, similari
 UNION ALL SELECT query_id, seed_rank, CAST(100 + i3.pos AS INT), i3.t, similarity, 0.6::DOUBLE FROM hits JOIN i3 ON node_id = i3.f)"""
 
 
-def _events(spark, d):
+def _stored(spark, d):
+    """The graph as stored tables, for queries that use it several times."""
     c = commerce(spark, d)
+    c.nodes, c.edges = materialize(c.nodes), materialize(c.edges)
+    return c
+
+
+def _events(spark, d):
+    c = _stored(spark, d)
     hits = spark.createDataFrame(_SEEDS, "query_id int, node_id string, similarity double, seed_rank int")
     return c, hits, context.expand(c, hits)
 
@@ -335,7 +343,7 @@ def context_rank(spark, d):
     FROM ids i LEFT JOIN r ON i.node_id = r.node_id AND r.k <= 3 GROUP BY i.node_id"""
 )
 def context_annotations(spark, d):
-    c = commerce(spark, d)
+    c = _stored(spark, d)
     notes = context.annotations(c, _ids(spark, *[f"c:{i}" for i in range(1, 41)], *[f"s:{i}" for i in range(1, 11)]))
     return notes.select("node_id", *[F.array_join(k, "; ").alias(k) for k in ("called_by", "calls", "imported_by", "imports")])
 
