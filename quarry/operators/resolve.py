@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import last_segment, package_dir, specifier_package, specifier_subpath
@@ -138,6 +138,7 @@ def distinct_types(refs: DataFrame) -> DataFrame:
 
 
 def first_nodes(nodes: DataFrame) -> DataFrame:
-    """Each file's first node."""
-    w = Window.partitionBy("file_path").orderBy(F.asc_nulls_last("start_line"), "node_id")
-    return nodes.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """Each file's first node by line (null last) and id; combined within tasks."""
+    rest = [c for c in nodes.columns if c not in ("file_path", "start_line", "node_id")]
+    first = nodes.groupBy("file_path").agg(F.min(F.struct(F.col("start_line").isNull().alias("_none"), "start_line", "node_id", *rest)).alias("_f"))
+    return first.select(*[c if c == "file_path" else F.col(f"_f.{c}").alias(c) for c in nodes.columns])

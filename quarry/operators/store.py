@@ -3,7 +3,7 @@ writes the result to a new version of the table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import STRONG_KINDS
@@ -88,5 +88,7 @@ def reuse(incoming: DataFrame, stored: DataFrame, key: list[str], digest: str =
 
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(F.desc_nulls_last(order))
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The last row of each key by `order`, nulls first; of equals the one whose other columns are greatest. Combined within tasks."""
+    rest = [order, *[c for c in rows.columns if c not in key and c != order]]
+    last = rows.groupBy(*key).agg(F.max(F.struct(*rest)).alias("last"))
+    return last.select(*[c if c in key else F.col(f"last.{c}").alias(c) for c in rows.columns])

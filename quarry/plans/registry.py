@@ -480,3 +480,75 @@ def cross_source_resolve(spark, d):
     part.createOrReplaceTempView("part")
     get = lambda cte: spark.sql(cte.partition(" AS (")[2][:-1])
     return resolve.resolve_cross(get(_REFS), get(_PKGS), get(_TARGETS))
+
+
+# Calls and predicates: each part calls a name that a supplier's symbol has in some file.
+_SYMBOLS = "symbols AS (SELECT concat('t:', s_suppkey) AS node_id, concat('f', s_suppkey % 40) AS file_path, concat('fn', s_suppkey % 67) AS name FROM supplier)"
+_CALLS = """calls AS (SELECT p_partkey AS id, concat('f', p_partkey % 50) AS file_path, CASE p_partkey % 5 WHEN 0 THEN concat('obj.fn', p_size) WHEN 1 THEN 'console.log' WHEN 2 THEN 'list.map' ELSE concat('fn', p_size + 20) END AS callee FROM part)"""
+_IMPORTED = "imported AS (SELECT DISTINCT concat('f', p_partkey % 50) AS file_path, concat('f', p_size % 40) AS resolved_path FROM part WHERE p_partkey % 11 = 0)"
+
+
+def _over(spark, d, *names):
+    """The CTEs' rows, which Spark and DuckDB read alike."""
+    for t in ("part", "supplier", "events", "orders"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    return [spark.sql(cte.partition(" AS (")[2][:-1]) for cte in names]
+
+
+@query(
+    f"""WITH {_SYMBOLS}, {_CALLS}, {_IMPORTED}, own AS (SELECT *, regexp_extract(callee, '[^.]*$') AS name FROM calls WHERE callee <> 'console.log'),
+    m AS (SELECT o.id, 1 AS tier, s.node_id FROM own o JOIN symbols s ON o.file_path = s.file_path AND o.name = s.name
+    UNION ALL SELECT o.id, 2, s.node_id FROM own o JOIN imported i ON o.file_path = i.file_path JOIN symbols s ON s.file_path = i.resolved_path AND s.name = o.name
+    UNION ALL SELECT o.id, 3, s.node_id FROM own o JOIN (SELECT name, min(node_id) AS node_id FROM symbols GROUP BY name HAVING count(*) = 1) s ON o.name = s.name WHERE o.callee <> 'list.map'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, node_id) AS k FROM m) SELECT id, node_id AS target_id, tier FROM r WHERE k = 1"""
+)
+def call_resolve(spark, d):
+    symbols, calls, imported = _over(spark, d, _SYMBOLS, _CALLS, _IMPORTED)
+    return resolve.resolve_calls(calls, symbols, imported)
+
+
+_SPECIFIERS = """specifiers AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'node:fs' WHEN 1 THEN 'path/posix' WHEN 2 THEN concat('github.com/x/', p_size) WHEN 3 THEN 'net/http' WHEN 4 THEN 'console.log' ELSE CASE WHEN p_size % 2 = 0 THEN 'obj.map' ELSE 'obj.mapped' END END AS s FROM part)"""
+
+
+@query(
+    f"""WITH {_SPECIFIERS} SELECT id, split_part(regexp_replace(s, '^node:', ''), '/', 1) IN ('fs', 'path', 'net') AS node_builtin, NOT contains(split_part(s, '/', 1), '.') AS go_stdlib,
+    s = 'console.log' AS global_call, s = 'obj.map' AS method FROM specifiers"""
+)
+def builtin_predicates(spark, d):
+    (s,) = _over(spark, d, _SPECIFIERS)
+    c = F.col("s")
+    return s.select("id", resolve.is_node_builtin(c).alias("node_builtin"), resolve.is_go_stdlib(c).alias("go_stdlib"), resolve.is_global_call(c).alias("global_call"), resolve.is_builtin_method_call(c).alias("method"))
+
+
+_TYPE_REFS = "type_refs AS (SELECT concat('o', o_custkey % 97) AS source_id, CASE o_orderkey % 4 WHEN 0 THEN 'string' ELSE concat('T', o_custkey % 13) END AS type, CAST(o_orderkey % 1000 AS INT) AS line_number FROM orders)"
+
+
+@query(f"WITH {_TYPE_REFS} SELECT source_id, type, min(line_number) AS line_number FROM type_refs WHERE type <> 'string' GROUP BY source_id, type")
+def type_refs_distinct(spark, d):
+    return resolve.distinct_types(*_over(spark, d, _TYPE_REFS))
+
+
+@query("WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT user_id, event_id, event_type FROM r WHERE k = 1")
+def latest_job(spark, d):
+    return store.latest(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
+
+
+@query(
+    f"""WITH {ctes("edges")}, fresh AS (SELECT source_id, target_id, kind, 1.0::DOUBLE AS weight FROM edges WHERE source_id IN ('c:1', 'c:2') AND weight > 0.2)
+    SELECT source_id, target_id, kind, weight FROM edges WHERE source_id NOT IN ('c:1', 'c:2', 's:3') UNION ALL SELECT * FROM fresh"""
+)
+def edge_replace(spark, d):
+    e = commerce(spark, d).edges
+    fresh = e.filter(F.col("source_id").isin("c:1", "c:2") & (F.col("weight") > 0.2)).withColumn("weight", F.lit(1.0))
+    return store.replace_edges(e, _ids(spark, "c:1", "c:2", "s:3"), fresh)
+
+
+@query(f"WITH {_PKGS}, o AS (SELECT p_partkey AS node_id, concat('k', lower(replace(p_brand, '#', ''))) AS package_id FROM part) SELECT o.node_id, p.package_id FROM o LEFT JOIN (SELECT DISTINCT package_id FROM pkgs WHERE workspace_id < 3) p ON o.package_id = p.package_id")
+def package_unset(spark, d):
+    owned, packages = _over(spark, d, "o AS (SELECT p_partkey AS node_id, concat('k', lower(replace(p_brand, '#', ''))) AS package_id FROM part)", _PKGS)
+    return store.unset_missing(owned, "package_id", packages.filter("workspace_id < 3"), "package_id")
+
+
+@query(f"WITH {ctes('nodes')}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY start_line NULLS LAST, node_id) AS k FROM nodes) SELECT file_path, node_id, start_line FROM r WHERE k = 1")
+def file_heads(spark, d):
+    return resolve.first_nodes(commerce(spark, d).nodes).select("file_path", "node_id", "start_line")
