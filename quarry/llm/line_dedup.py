@@ -7,14 +7,17 @@ span = gram + window - 1 lines holds a fingerprint that depends on these lines a
 Fingerprints are counted over the corpus; those that occur once cannot lie in a repeated run
 and go no further. Around each other fingerprint the match is extended both ways: every run of
 `span` lines that covers it is hashed (128 bits) and its earliest place in the corpus found.
-Lines of a run that has an earlier place are deleted. So a line goes exactly if it lies in a run of
-`span` lines that also occurs earlier; runs are never compared pair by pair, and a run in
+Runs of fewer lines qualify by their words: one of `words` words and more is a fingerprint of its own (winnowing
+with span 1). Lines of a run that has an earlier place are deleted. So a line goes exactly if it lies in a run of
+`span` lines, or of fewer lines with `words` words together, that also occurs earlier. A run whose lines all lie in shorter
+runs that qualify is left out: those go wherever it goes. Runs are never compared pair by pair, and a run in
 a third of all documents costs a row for each place and one partial aggregate a task.
 
 Order of places: (doc_id, hash of the text, line number), nulls first. Rows equal in doc_id and text are
 one document to this order, so all of them keep the same lines.
 
-Defined cases. Null text: stays null, no lines. Empty text or fewer than `span` lines: unchanged.
+Defined cases. Null text: stays null, no lines. Empty text: unchanged. Fewer than `span` lines: only runs with `words` words go.
+words = None: only runs of `span` lines qualify. Words are runs without white space.
 Null doc_id: ordered first, deduplicated like any other. Repeated rows: the same result for each.
 Lines without a word stay. Extra columns pass through, whatever their names.
 """
@@ -32,6 +35,8 @@ from .common import fresh, materialize, read, slices
 
 GRAM = 2
 WINDOW = 2
+#: A run of fewer lines than gram + window - 1 qualifies from this many words on.
+WORDS = 8
 
 
 def select_minima(grams: list[int], window: int) -> list[int]:
@@ -44,7 +49,32 @@ def select_minima(grams: list[int], window: int) -> list[int]:
     return out
 
 
-def _fingerprints(gram: int, window: int):
+def short_runs(counts: list[int], span: int, words: int | None) -> tuple[list[tuple[int, int]], list[bool]]:
+    """For the word counts of a document's lines: the (start, lines) of the runs of fewer than `span` lines that have
+    `words` words, and for each start of `span` lines whether that run is needed. Runs that shorter ones cover are left out."""
+    n = len(counts)
+    out: list[tuple[int, int]] = []
+    need = [True] * max(0, n - span + 1)
+    if words is None:
+        return out, need
+    ends: list[tuple[int, int]] = []  # qualified runs so far, as (start, end)
+    for k in range(1, span + 1):
+        known = set(ends)
+        for i in range(n - k + 1):
+            covered = set()
+            for a in range(i, i + k):
+                for b in range(a + 1, min(a + k, i + k + 1)):
+                    if (a, b) in known:
+                        covered.update(range(a, b))
+            if k == span:
+                need[i] = len(covered) < k
+            elif len(covered) < k and sum(counts[i : i + k]) >= words:
+                out.append((i, k))
+                ends.append((i, i + k))
+    return out, need
+
+
+def _fingerprints(gram: int, window: int, words: int | None):
     span = gram + window - 1
     fields = ["fp", "doc", "th", "starts", "runs"]
 
@@ -52,18 +82,24 @@ def _fingerprints(gram: int, window: int):
         for b in slices(batches):
             rows: list[tuple] = []
             for doc, th, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if not text or text.count("\n") < span - 1:
+                if not text:
                     continue
                 raw = text.split("\n")
                 at = [i for i, x in enumerate(raw) if x.strip(" \t\x0b\x0c\r")]
-                if len(at) < span:
-                    continue
                 h = [xxhash.xxh3_128_digest(raw[i].strip(" \t\x0b\x0c\r")) for i in at]
+                short, need = short_runs([len(raw[i].split()) for i in at], span, words)
+                for i, k in short:
+                    # Runs of one and of several lines differ in their digests' input: 16 bytes a line.
+                    d = xxhash.xxh3_128_digest(b"".join(h[i : i + k]))
+                    rows.append((int.from_bytes(d[:8], "little", signed=True), doc, th, [at[i : i + k]], [d]))
+                if not any(need):
+                    continue
                 grams = [xxhash.xxh3_64_intdigest(b"".join(h[i : i + gram])) for i in range(len(h) - gram + 1)]
                 runs = [xxhash.xxh3_128_digest(b"".join(h[i : i + span])) for i in range(len(h) - span + 1)]
                 for p in select_minima(grams, window):
-                    starts = range(max(0, p - window + 1), min(p, len(runs) - 1) + 1)
-                    rows.append((grams[p] - (1 << 63), doc, th, [at[i : i + span] for i in starts], [runs[i] for i in starts]))
+                    starts = [i for i in range(max(0, p - window + 1), min(p, len(runs) - 1) + 1) if need[i]]
+                    if starts:
+                        rows.append((grams[p] - (1 << 63), doc, th, [at[i : i + span] for i in starts], [runs[i] for i in starts]))
             if rows:
                 arrays = list(zip(*rows))
                 types = [pa.int64(), b.schema.field(0).type, pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.binary())]
@@ -72,12 +108,12 @@ def _fingerprints(gram: int, window: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, words: int | None = WORDS) -> DataFrame:
     """(doc, th, gone): the line numbers to delete of each document that has any;
     th is xxhash64 of the text."""
     src = docs.filter(F.col(text_col).isNotNull()).select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
-    marks = materialize(src.mapInArrow(_fingerprints(gram, window), f"fp long, doc {kind}, th long, starts array<array<int>>, runs array<binary>"))
+    marks = materialize(src.mapInArrow(_fingerprints(gram, window, words), f"fp long, doc {kind}, th long, starts array<array<int>>, runs array<binary>"))
     often = marks.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
     runs = marks.join(often, "fp", "left_semi").select("doc", "th", F.explode(F.arrays_zip("starts", "runs")).alias("z")).select("doc", "th", F.col("z.starts").alias("lines"), F.col("z.runs").alias("run")).distinct()
     # min() is combined within each task before the shuffle, so a hot run is a row for each task.
@@ -87,9 +123,9 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return later.select("doc", "th", F.explode("lines").alias("line")).groupBy("doc", "th").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, removed_col: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, words: int | None = WORDS, removed_col: str | None = None) -> DataFrame:
     """docs with its text without later repeated runs; removed_col: also the number of lines removed."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, gram=gram, window=window)
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, gram=gram, window=window, words=words)
     d, h, g, n = fresh(docs, "quarry_doc", "quarry_th", "quarry_gone", "quarry_n")
     gone = gone.select(F.col("doc").alias(d), F.col("th").alias(h), F.col("gone").alias(g))
     both = docs.join(gone, docs[id_col].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text_col]) == F.col(h)), "left")

@@ -49,3 +49,34 @@ def test_cases(spark):
     assert by[1].text is None and by[2].text == ""
     assert [r.n_removed for r in rows if r.doc_id == 7] == [0, 0]
     assert q.dedup_lines(empty(spark)).count() == 0
+
+
+def slow_words(rows, span, words):
+    """slow(), with runs of fewer lines that have `words` words."""
+    seen, out = set(), []
+    for _, text in rows:
+        raw = text.split("\n")
+        at = [i for i, x in enumerate(raw) if x.strip()]
+        gone = set()
+        for k in range(len(at)):
+            for n in range(1, min(span, len(at) - k) + 1):
+                run = tuple(raw[i].strip() for i in at[k : k + n])
+                if n == span or sum(len(x.split()) for x in run) >= words:
+                    gone.update(at[k : k + n]) if run in seen else seen.add(run)
+        out.append("\n".join(x for i, x in enumerate(raw) if i not in gone))
+    return out
+
+
+def test_short_runs_go_by_words(spark):
+    rng = random.Random(5)
+    for gram, window, words in ((2, 2, 4), (2, 3, 3), (1, 1, 2), (2, 2, 8)):
+        rows = [(i, "\n".join(rng.choice(["a", "b", " d ", "", "e f", "g h i", "k l m n o"]) + rng.choice(["", " x", " y"]) for _ in range(rng.randint(0, 8)))) for i in range(150)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = {r.doc_id: r.text for r in q.dedup_lines(docs, gram=gram, window=window, words=words).collect()}
+        assert [got[i] for i, _ in rows] == slow_words(rows, gram + window - 1, words)
+
+
+def test_one_long_line_goes_at_the_defaults(spark):
+    line = "This text is under a license that all the others have as well"
+    docs = spark.createDataFrame([(1, line), (2, "own words\n" + line + "\nmore own"), (3, line[:30] + "\nsix words more are in here"), (4, line[:30])], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in q.dedup_lines(docs).collect()} == {1: line, 2: "own words\nmore own", 3: line[:30] + "\nsix words more are in here", 4: line[:30]}
