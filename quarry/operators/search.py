@@ -100,3 +100,14 @@ def approximate_topk(celled: DataFrame, centres: list[list[float]], vector: list
 
     near = sorted(range(len(centres)), key=lambda i: (-like(centres[i], vector), i))[:probes]
     return vector_leg(celled.filter(F.col("cell").isin(near)), vector, clamp_limit(limit))
+
+
+def approximate_topk_each(celled: DataFrame, centres: list[list[float]], queries: DataFrame, *, probes: int, limit: int | None = None) -> DataFrame:
+    """(query_id, node_id, similarity): approximate_topk() for each row of queries (query_id, vector), nulls apart. Each query is joined
+    to the rows of the cells it probes, so the work is queries times the rows probed; ranks are cut to the limit within tasks first."""
+    near = F.array_sort(F.array(*[F.struct((-cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in c]))).alias("s"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))
+    q = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector", F.explode(F.slice(near, 1, probes)["i"]).alias("probe"))
+    rows = celled.filter(F.col("embedding").isNotNull()).select("node_id", "embedding", "cell")
+    scored = q.join(rows, F.col("probe") == F.col("cell")).select("query_id", "node_id", cosine(F.col("embedding"), F.col("vector")).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "node_id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= clamp_limit(limit)).drop("rank")

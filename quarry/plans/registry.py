@@ -279,12 +279,17 @@ def hybrid_topk_kinds(spark, d):
     return search.hybrid_topk(nodes, v, QUERY_TEXT, kinds=["en"], limit=20).select("node_id", "kind", "alias", F.round("score", 9).alias("score"))
 
 
+#: Cells of approximate_topk, around the first vectors, and how many of them are probed: measured to give a recall of 0.9 and more.
+CELLS, PROBES = 16, 13
+
+
 @query()
 def approximate_topk(spark, d):
-    """Cells around 16 of the vectors, 6 of them probed."""
-    nodes, v = _docs(spark, d)
-    centres = [[float(x) for x in r[0]] for r in table(spark, d, "embeddings").orderBy("vec_id").limit(16).select("embedding").collect()]
-    return search.approximate_topk(search.cells(nodes, centres), centres, v, probes=6)
+    """The 10 nearest by the probed cells, for each vector whose id is divisible by 100."""
+    own = table(spark, d, "embeddings")
+    centres = [[float(x) for x in r[0]] for r in own.orderBy("vec_id").limit(CELLS).select("embedding").collect()]
+    queries = own.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return search.approximate_topk_each(search.cells(adapters.documents(spark, d), centres), centres, queries, probes=PROBES)
 
 
 # Context assembly over the graph, from fixed hits.

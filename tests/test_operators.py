@@ -93,6 +93,25 @@ def test_search(spark):
     assert ids(search.approximate_topk(search.cells(nodes.filter("embedding is not null"), [[1.0, 0, 0, 0], [0, 0, 1.0, 0]]), [[1.0, 0, 0, 0], [0, 0, 1.0, 0]], [0, 0, 1.0, 0], probes=1, limit=1)) == ["n2"]
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_of_approximate_topk(spark, sf, size):
+    """Against all rows, over every vector whose id is divisible by 100."""
+    import numpy as np
+
+    from quarry.plans import registry
+
+    d = sf.replace("sf0.001", size)
+    got = {}
+    for r in registry.QUERIES["approximate_topk"](spark, d).collect():
+        got.setdefault(r.query_id, set()).add(r.node_id)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    recall = [len(got[q] & set(ids[np.lexsort((ids, -(x @ v)))[:10]])) / 10 for q, v in zip(ids, x) if q % 100 == 0]
+    print(size, len(recall), sum(recall) / len(recall))
+    assert len(recall) == len(got) >= 5 and sum(recall) / len(recall) >= 0.9
+
+
 def test_store(spark):
     e = spark.createDataFrame([("a", "b", "calls", 0.5, 1), ("a", "b", "calls", 1.0, 3), ("a", "b", "calls", 1.0, 2)], EDGE + ", ordinal int")
     assert store.dedup_max(e).first().ordinal == 2
