@@ -4,7 +4,8 @@ A text becomes a sequence of lower-case template tokens: names (capitalised word
 numbers and units after numbers become typed placeholders; runs of letters and digits are the
 other tokens. Every window of `window` tokens of a benchmark item is indexed by its hash; a document is
 probed with every `stride`-th of its windows, so a shared run of window + stride - 1 tokens is
-always hit. Items shorter than that are indexed whole and probed at every place.
+always hit. Items shorter than that are indexed whole and probed at every place. With a stride of 1 exactly the
+tokens of shared runs of `window` tokens are covered, wherever they stand; a larger stride covers fewer.
 
 The index is broadcast if its row count, which is checked, is at most `broadcast_rows`; beyond
 that Spark joins by shuffling. The hits of a document, an item and an alignment must have consistent slots:
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize, read
 
 WINDOW = 8
-STRIDE = 4
+STRIDE = 1
 LITERALS = 4
 LEAST = 5
 COVERED = 13
@@ -92,12 +93,13 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     widths = [r[0] for r in ix.select("width").distinct().collect()]  # window + stride - 1 numbers at most
     src = docs.select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
     tokens = src.select("doc", "th", template(F.col("text")).alias("t"))
-    probes = None
-    for w in widths:
-        for step in {stride} if w == window else {1}:
-            p = tokens.select("doc", "th", F.lit(w).alias("w"), F.explode(_windows("t", w, step)).alias("x")).select("doc", "th", "w", F.col("x.at").alias("pos"), F.col("x.h").alias("g"))
-            probes = p if probes is None else probes.unionByName(p)
-    if probes is None:
+    def at_width(w: int) -> Column:
+        return F.transform(F.coalesce(_windows("t", w, stride if w == window else 1), F.array()), lambda x: F.struct(F.lit(w).alias("w"), x["at"].alias("pos"), x["h"].alias("g")))
+
+    wide = [at_width(w) for w in widths]
+    if wide:
+        probes = tokens.select("doc", "th", F.explode(F.concat(*wide)).alias("x")).select("doc", "th", "x.w", "x.pos", "x.g")
+    else:
         probes = tokens.select("doc", "th", F.lit(0).alias("w"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("g")).limit(0)
     hits = probes.join(light, (F.col("g") == F.col("h")) & (F.col("w") == F.col("width")))
     # One row for each alignment, combined within the task: a document's hits are in one task.

@@ -74,3 +74,11 @@ def test_both_token_forms_agree(spark):
 
     for r in df.select(q.template(F.col("t")).alias("a"), q.slots(F.col("t")).alias("b")).collect():
         assert [x if x[0] > "\x03" else x[0] for x in r.b] == r.a
+
+
+def test_partial_quotes_are_found_at_every_place(spark):
+    item = " ".join("q" + chr(97 + i % 26) * (1 + i // 26) for i in range(40))
+    part = " ".join(item.split()[11:24])
+    docs = ["other " * k + " " + part + " tail words" for k in range(8)] + ["start " + " ".join(item.split()[11:23]) + " tail words"]
+    got = found(spark, docs, [item])
+    assert set(got) == {(i, 0) for i in range(8)} and {r.n_covered for r in got.values()} == {13}
