@@ -9,8 +9,9 @@ tokens of shared runs of `window` tokens are covered, wherever they stand; a lar
 
 The index is broadcast if its row count, which is checked, is at most `broadcast_rows`; beyond
 that Spark joins by shuffling. The hits of a document, an item and an alignment must have consistent slots:
-their placeholder values must map one to one (a re-parameterised question maps "3" to "7" everywhere).
-A document is contaminated by an item if consistent alignments cover
+equal values of the item must be equal values of the document (a re-parameterised question maps "3" to "7" everywhere; "3" and
+"5" may both become "7"). Where a value of the item has several in the document, those that are not the item's own conflict, and
+windows that hold one are dropped; the others count. A document is contaminated by an item if consistent alignments cover
 `covered` of the item's tokens, or `share` of them if that is less.
 
 Defined cases. Null or empty texts and items: no tokens, no hits. Items of fewer than `least` tokens name nothing and
@@ -111,15 +112,18 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     text = src.join(some, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).dropDuplicates(["doc", "th"]).select(F.col("doc").alias("d"), F.col("th").alias("h"), slots(F.col("text")).alias("own"))
     item = ix.select(F.col("item").alias("i"), F.col("length").alias("l"), "slots").dropDuplicates(["i", "l"])
     both = lines.join(text, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).join(F.broadcast(item) if small else item, F.col("item").eqNullSafe(F.col("i")) & (F.col("length") == F.col("l")))
-    both = both.withColumn("at", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("width") - 1)))))
-    held = F.filter("at", lambda p: F.substring(F.get("slots", p), 1, 1).isin("\x01", "\x02", "\x03"))
-    pairs = both.select("doc", "th", "item", "length", "at", F.transform(held, lambda p: F.struct(F.get("slots", p).alias("a"), F.get("own", p + F.col("shift")).alias("b"))).alias("p"))
-    kinds = F.size(F.array_distinct("p"))
-    same = pairs.filter((F.size(F.array_distinct("p.a")) == kinds) & (F.size(F.array_distinct("p.b")) == kinds))
-    found = same.groupBy("doc", "th", "item", "length").agg(
+    spread = lambda at: F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, p + F.col("width") - 1))))
+    held = F.filter(spread("at"), lambda p: F.substring(F.get("slots", p), 1, 1).isin("\x01", "\x02", "\x03"))
+    pairs = both.withColumn("p", F.transform(held, lambda p: F.struct(p.alias("at"), F.get("slots", p).alias("a"), F.get("own", p + F.col("shift")).alias("b")))).drop("slots", "own")
+    odd = F.filter("p", lambda x: (x["a"] != x["b"]) & F.exists("p", lambda y: (y["a"] == x["a"]) & (y["b"] != x["b"])))
+    pairs = pairs.withColumn("odd", F.transform(odd, lambda x: x["at"]))
+    pairs = pairs.withColumn("at", F.filter("at", lambda p: ~F.exists("odd", lambda o: o.between(p, p + F.col("width") - 1))))
+    pairs = pairs.withColumn("at", spread("at"))
+    pairs = pairs.withColumn("p", F.filter("p", lambda x: F.array_contains("at", x["at"])))
+    found = pairs.groupBy("doc", "th", "item", "length").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_covered"),
         F.max(F.size("p")).cast("long").alias("n_slots"),
-        F.max(F.forall("p", lambda x: x["a"] == x["b"])).alias("exact"),
+        F.max((F.size("odd") == 0) & F.forall("p", lambda x: x["a"] == x["b"])).alias("exact"),
     )
     return found.filter(F.col("n_covered") >= F.least(F.lit(float(covered)), F.col("length") * share)).select("doc", "th", "item", "n_covered", F.col("length").cast("long").alias("n_item_tokens"), "n_slots", "exact")
 

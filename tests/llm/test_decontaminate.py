@@ -82,3 +82,13 @@ def test_partial_quotes_are_found_at_every_place(spark):
     docs = ["other " * k + " " + part + " tail words" for k in range(8)] + ["start " + " ".join(item.split()[11:23]) + " tail words"]
     got = found(spark, docs, [item])
     assert set(got) == {(i, 0) for i in range(8)} and {r.n_covered for r in got.values()} == {13}
+
+
+def test_slots_may_take_one_value_and_conflicts_cost_their_windows_alone(spark):
+    item = "the farmer has 3 apples and 7 pears in the yard while the miller has 8 cows in the large barn just behind it"
+    equal = item.replace("3", "5").replace("7", "5")
+    twice = "the farmer has 5 cows and a dog in the yard while the miller has 5 pigs in the large barn just behind the old mill of this town"
+    got = found(spark, [equal, twice.replace("5 cows", "6 cows")], [item, twice])
+    assert set(got) == {(0, 0), (1, 1)} and not got[(0, 0)].exact and not got[(1, 1)].exact
+    n = len(twice.split())
+    assert got[(0, 0)].n_covered == len(item.split()) and n - 8 <= got[(1, 1)].n_covered < n
