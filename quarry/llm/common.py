@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -19,11 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset
-    (single-machine tests) a temporary folder, remembered in the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local
+    session (tests) gets a temporary folder, remembered in the session; on a cluster that is an error."""
     key = "spark.checkpoint.dir"
     found = spark.sparkContext.getConf().get(key, None) or spark.conf.get(key, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {key} to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set(key, found)
     return found.rstrip("/")
@@ -35,9 +39,39 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The folders that materialize() wrote and discard() has not deleted, oldest first.
+_written: list[str] = []
+
+
+def discard(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Deletes the folders written after the first `since`, except the one that `but` reads.
+    Frames that read them can't be used any more."""
+    kept = set(but.inputFiles()) if but is not None else set()
+    for path in _written[since:]:
+        if not any(f"/{path.rpartition('/')[2]}/" in f for f in kept):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _written.remove(path)
+
+
+def join_first(rows: DataFrame, first: DataFrame, keys: list[str], n: str = "n", most: int = 2000, least: int = 10_000) -> DataFrame:
+    """rows joined to `first`, a stored table of one row a key in which `n` is how many rows hold the key. Keys that more than one in
+    `most` of the rows hold are fewer than `most`, whatever the data: these are broadcast and their rows
+    stay where they are. All other keys are shuffled, so no task gets more than that part of the rows for one key. Keys of up to `least` rows are never hot."""
+    total = first.agg(F.sum(n)).first()[0] or 0
+    least = max(total // most, least)
+    hot = first.filter(F.col(n) > least)
+    if not hot.head(1):
+        return rows.join(first, keys)
+    hot = F.broadcast(hot)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(first.filter(F.col(n) <= least), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """names, each with underscores put before it until no column of df has it
     (case does not matter, as in Spark's resolution)."""
@@ -55,11 +89,21 @@ def without(columns: list[str], names: list[str]) -> list[str]:
     return [c for c in columns if c.lower() not in taken]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that few whole texts are Python objects at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that few whole texts are Python objects at a time: `rows` rows, or texts of `size` bytes
+    together (or one row, if it is longer)."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        held = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+                held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(held)
+        i = 0
+        while i < batch.num_rows:
+            before = ends[i - 1] if i else 0
+            j = min(i + rows, max(i + 1, int(np.searchsorted(ends, before + size, "right"))), batch.num_rows)
+            yield batch.slice(i, j - i)
+            i = j
 
 
 class WordHash(dict):

@@ -1,25 +1,30 @@
 """Line dedup: winnowing over line hashes.
 
-A document's lines that have a word (stripped of ASCII white space) form a sequence. Each
-`gram` consecutive lines have a hash; in each window of `window` such hashes the least one
-(the rightmost of equals) is selected as a fingerprint, so every run of
-span = gram + window - 1 lines holds a fingerprint that depends on these lines alone.
-Fingerprints are counted over the corpus; those that occur once cannot lie in a repeated run
-and go no further. Around each other fingerprint the match is extended both ways: every run of
-`span` lines that covers it is hashed (128 bits) and its earliest place in the corpus found.
-Runs of fewer lines qualify by their words: one of `words` words and more is a fingerprint of its own (winnowing
-with span 1). Lines of a run that has an earlier place are deleted. So a line goes exactly if it lies in a run of
-`span` lines, or of fewer lines with `words` words together, that also occurs earlier. A run whose lines all lie in shorter
-runs that qualify is left out: those go wherever it goes. Runs are never compared pair by pair, and a run in
-a third of all documents costs a row for each place and one partial aggregate a task.
-
-Order of places: (doc_id, hash of the text, line number), nulls first. Rows equal in doc_id and text are
+A document's lines that have a word (stripped of ASCII white space) form a sequence of digests.
+
+1. Fingerprints. Each GRAM = 2 lines in a row have a hash; of each WINDOW = 2 such hashes in a row the least one (the
+   rightmost of equals) is selected, so every run of SPAN = 3 lines holds a fingerprint that depends
+   on these lines alone. What weighs `words` words is a fingerprint too: a line by itself, or
+   two lines none of which weighs as much. A fingerprint carries the digests of SPAN lines to either side.
+2. Positions. Fingerprints that occur once go no further. Each place of the others is joined to the earliest place of the
+   corpus with the same fingerprint, and to the earliest with the same line after or before it as well; a light
+   fingerprint (one selected as a minimum only) is joined by the latter two alone.
+3. Extension. A joined place is compared with the earlier one line by line to both sides, as far as their digests reach.
+   Beyond that lies the next fingerprint of the same run, so the matches of a run together are as long as the run.
+4. The lines of the later place are deleted.
+
+So a line goes exactly if it lies in a run of three lines, or of one or two lines with `words` words, that also occurs at
+an earlier place which does not overlap it: a kept run never loses lines to a later place of itself (`a a a a b` stays,
+of `a a a a a a` half goes). Longer runs consist of such runs. Places are never compared pair by pair: a run in a third of all
+documents costs each place one join with one earliest place.
+
+Order of places: (doc_id, hash of the text, line), nulls first. Rows equal in doc_id and text are
 one document to this order, so all of them keep the same lines.
 
-Defined cases. Null text: stays null, no lines. Empty text: unchanged. Fewer than `span` lines: only runs with `words` words go.
-words = None: only runs of `span` lines qualify. Words are runs without white space.
-Null doc_id: ordered first, deduplicated like any other. Repeated rows: the same result for each.
-Lines without a word stay. Extra columns pass through, whatever their names.
+Defined cases. Null text: stays null, no lines. Empty text: unchanged. words = None: only runs of three lines go.
+Words are runs without white space. Null doc_id: ordered first, deduplicated like any other. Repeated rows: the same result
+for each. Lines without a word stay and separate nothing. Extra columns pass through, whatever their names. Very long
+texts: fingerprints and the removal of lines are linear in the number of lines.
 """
 
 from __future__ import annotations
@@ -28,16 +33,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, read, slices
+from .common import fresh, join_first, materialize, read, slices
 
 GRAM = 2
 WINDOW = 2
-#: A run of fewer lines than gram + window - 1 qualifies from this many words on.
+SPAN = GRAM + WINDOW - 1
+#: A run of one or two lines goes from this many words on.
 WORDS = 8
 
+_BLANK = " \t\x0b\x0c\r"
+
 
 def select_minima(grams: list[int], window: int) -> list[int]:
     """Places of the least value of each window of `window` values, the rightmost of equals."""
@@ -49,34 +57,27 @@ def select_minima(grams: list[int], window: int) -> list[int]:
     return out
 
 
-def short_runs(counts: list[int], span: int, words: int | None) -> tuple[list[tuple[int, int]], list[bool]]:
-    """For the word counts of a document's lines: the (start, lines) of the runs of fewer than `span` lines that have
-    `words` words, and for each start of `span` lines whether that run is needed. Runs that shorter ones cover are left out."""
-    n = len(counts)
-    out: list[tuple[int, int]] = []
-    need = [True] * max(0, n - span + 1)
-    if words is None:
-        return out, need
-    ends: list[tuple[int, int]] = []  # qualified runs so far, as (start, end)
-    for k in range(1, span + 1):
-        known = set(ends)
-        for i in range(n - k + 1):
-            covered = set()
-            for a in range(i, i + k):
-                for b in range(a + 1, min(a + k, i + k + 1)):
-                    if (a, b) in known:
-                        covered.update(range(a, b))
-            if k == span:
-                need[i] = len(covered) < k
-            elif len(covered) < k and sum(counts[i : i + k]) >= words:
-                out.append((i, k))
-                ends.append((i, i + k))
-    return out, need
-
-
-def _fingerprints(gram: int, window: int, words: int | None):
-    span = gram + window - 1
-    fields = ["fp", "doc", "th", "starts", "runs"]
+def fingerprints(digests: list[bytes], words: list[int], least: int | None) -> Iterator[tuple[int, int, bool]]:
+    """(place, lines, whether it weighs enough alone) of the fingerprints of a sequence of lines."""
+    n = len(digests)
+    heavy = [least is not None and w >= least for w in words]
+    if least is not None:
+        for i in range(n):
+            if heavy[i]:
+                yield i, 1, True
+    grams = [xxhash.xxh3_64_intdigest(b"".join(digests[i : i + GRAM])) for i in range(n - GRAM + 1)]
+    light = set(select_minima(grams, WINDOW))
+    for i in range(len(grams)):
+        weighs = least is not None and not any(heavy[i : i + GRAM]) and sum(words[i : i + GRAM]) >= least
+        if weighs or i in light:
+            yield i, GRAM, weighs
+
+
+def _marks(least: int | None):
+    fields = ["fp", "doc", "th", "pos", "keys", "ctx", "own", "at"]
+
+    def signed(data: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -84,52 +85,80 @@ def _fingerprints(gram: int, window: int, words: int | None):
             for doc, th, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if not text:
                     continue
-                raw = text.split("\n")
-                at = [i for i, x in enumerate(raw) if x.strip(" \t\x0b\x0c\r")]
-                h = [xxhash.xxh3_128_digest(raw[i].strip(" \t\x0b\x0c\r")) for i in at]
-                short, need = short_runs([len(raw[i].split()) for i in at], span, words)
-                for i, k in short:
-                    # Runs of one and of several lines differ in their digests' input: 16 bytes a line.
-                    d = xxhash.xxh3_128_digest(b"".join(h[i : i + k]))
-                    rows.append((int.from_bytes(d[:8], "little", signed=True), doc, th, [at[i : i + k]], [d]))
-                if not any(need):
-                    continue
-                grams = [xxhash.xxh3_64_intdigest(b"".join(h[i : i + gram])) for i in range(len(h) - gram + 1)]
-                runs = [xxhash.xxh3_128_digest(b"".join(h[i : i + span])) for i in range(len(h) - span + 1)]
-                for p in select_minima(grams, window):
-                    starts = [i for i in range(max(0, p - window + 1), min(p, len(runs) - 1) + 1) if need[i]]
-                    if starts:
-                        rows.append((grams[p] - (1 << 63), doc, th, [at[i : i + span] for i in starts], [runs[i] for i in starts]))
+                raw = [x.strip(_BLANK) for x in text.split("\n")]
+                at = [i for i, x in enumerate(raw) if x]
+                d = [xxhash.xxh3_128_digest(raw[i]) for i in at]
+                short = [int.from_bytes(x[:8], "little", signed=True) for x in d]
+                for i, n, weighs in fingerprints(d, [len(raw[k].split()) for k in at], least):
+                    own = b"".join(d[i : i + n])
+                    # The kinds differ in the length of what is hashed or in its first byte.
+                    keys = [(signed(b"=" + own), 0, 0)] if weighs else []
+                    if i + n < len(d):
+                        keys.append((signed(b">" + own + d[i + n]), 0, 1))
+                    if i:
+                        keys.append((signed(b"<" + d[i - 1] + own), 1, 0))
+                    lo, hi = max(0, i - SPAN), i + n + SPAN
+                    keys = [{"key": k, "left": left, "right": n + right} for k, left, right in keys]
+                    rows.append((signed(own), doc, th, i, keys, short[lo:hi], i - lo, at[lo:hi]))
             if rows:
-                arrays = list(zip(*rows))
-                types = [pa.int64(), b.schema.field(0).type, pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, types)], fields)
+                key = pa.struct([("key", pa.int64()), ("left", pa.int32()), ("right", pa.int32())])
+                types = [pa.int64(), b.schema.field(0).type, pa.int64(), pa.int32(), pa.list_(key), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], fields)
 
     return run
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, words: int | None = WORDS) -> DataFrame:
-    """(doc, th, gone): the line numbers to delete of each document that has any;
-    th is xxhash64 of the text."""
-    src = docs.filter(F.col(text_col).isNotNull()).select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
-    kind = src.schema["doc"].dataType.simpleString()
-    marks = materialize(src.mapInArrow(_fingerprints(gram, window, words), f"fp long, doc {kind}, th long, starts array<array<int>>, runs array<binary>"))
-    often = marks.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
-    runs = marks.join(often, "fp", "left_semi").select("doc", "th", F.explode(F.arrays_zip("starts", "runs")).alias("z")).select("doc", "th", F.col("z.starts").alias("lines"), F.col("z.runs").alias("run")).distinct()
-    # min() is combined within each task before the shuffle, so a hot run is a row for each task.
-    place = F.struct("doc", "th", F.col("lines")[0].alias("line"))
-    first = runs.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first")
-    later = runs.join(first, "run").filter(place > F.col("first"))
-    return later.select("doc", "th", F.explode("lines").alias("line")).groupBy("doc", "th").agg(F.collect_set("line").alias("gone"))
+def _alike(a: Column, b: Column) -> Column:
+    """How many leading elements of two arrays are equal."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return (F.array_position(F.concat(same, F.array(F.lit(False))), F.lit(False)) - 1).cast("int")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, words: int | None = WORDS, removed_col: str | None = None) -> DataFrame:
+def matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int | None = WORDS) -> DataFrame:
+    """(doc, th, start, lines, kept_doc, kept_th, kept_start): the extended matches of later places with earlier ones. start and
+    kept_start count the lines that have a word; `lines` are line numbers of the text; th is xxhash64 of the text."""
+    src = docs.filter(F.col(text_col).isNotNull()).select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
+    kind = src.schema["doc"].dataType.simpleString()
+    marks = materialize(src.mapInArrow(_marks(words), f"fp long, doc {kind}, th long, pos int, keys array<struct<key:long,left:int,right:int>>, ctx array<long>, own int, at array<int>"))
+    often = materialize(marks.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    rows = join_first(marks, often, ["fp"]).select("doc", "th", "pos", "ctx", "own", "at", F.explode("keys").alias("k"))
+    rows = materialize(rows.select("k.key", "doc", "th", "pos", "k.left", "k.right", "ctx", "own", "at"))
+    # min() is combined within each task before the shuffle, so a hot key is a row for each task.
+    place = F.struct("doc", "th", "pos", "ctx", "own")
+    first = materialize(rows.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    both = join_first(rows, first, ["key"])
+    same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th"))
+    shift = F.col("pos") - F.col("first.pos")
+    both = both.filter(F.when(same, shift >= F.col("left") + F.col("right")).otherwise(F.struct("doc", "th") > F.struct("first.doc", "first.th")))
+    before = _alike(F.reverse(F.slice("ctx", F.lit(1), F.col("own"))), F.reverse(F.slice("first.ctx", F.lit(1), F.col("first.own"))))
+    after = _alike(F.slice("ctx", F.col("own") + 1, F.size("ctx")), F.slice("first.ctx", F.col("first.own") + 1, F.size("first.ctx")))
+    both = both.withColumn("before", before).withColumn("after", after)
+    # Equal keys of unlike lines (a collision of hashes) end here.
+    both = both.filter((F.col("before") >= F.col("left")) & (F.col("after") >= F.col("right")))
+    # Within one document a match may not reach into its kept place.
+    after = F.when(same, F.least(F.col("after"), shift - F.col("left"))).otherwise(F.col("after"))
+    before = F.when(same, F.least(F.col("before"), shift - after)).otherwise(F.col("before"))
+    lines = F.slice("at", F.col("own") - before + 1, before + after)
+    return both.select("doc", "th", (F.col("pos") - before).alias("start"), lines.alias("lines"), F.col("first.doc").alias("kept_doc"), F.col("first.th").alias("kept_th"), (F.col("first.pos") - before).alias("kept_start"))
+
+
+def repeated_lines(docs: DataFrame, **params) -> DataFrame:
+    """(doc, th, gone): the line numbers to delete of each document that has any, in order."""
+    found = matches(docs, **params).select("doc", "th", F.explode("lines").alias("line"))
+    return found.groupBy("doc", "th").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int | None = WORDS, removed_col: str | None = None) -> DataFrame:
     """docs with its text without later repeated runs; removed_col: also the number of lines removed."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, gram=gram, window=window, words=words)
-    d, h, g, n = fresh(docs, "quarry_doc", "quarry_th", "quarry_gone", "quarry_n")
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, words=words)
+    d, h, g, x = fresh(docs, "quarry_doc", "quarry_th", "quarry_gone", "quarry_lines")
     gone = gone.select(F.col("doc").alias(d), F.col("th").alias(h), F.col("gone").alias(g))
     both = docs.join(gone, docs[id_col].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text_col]) == F.col(h)), "left")
-    text = F.when(F.col(g).isNull(), docs[text_col]).otherwise(F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(F.col(g), i)), "\n"))
+    both = both.withColumn(x, F.when(F.col(g).isNotNull(), F.split(docs[text_col], "\n", -1)))
+    # The stretches between deleted lines: one slice for each, so linear.
+    starts, ends = F.concat(F.array(F.lit(0)), F.transform(g, lambda i: i + 1)), F.concat(F.col(g), F.array(F.size(x)))
+    kept = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: s["b"] > s["a"])
+    text = F.when(F.col(g).isNull(), docs[text_col]).otherwise(F.array_join(F.flatten(F.transform(kept, lambda s: F.slice(x, s["a"] + 1, s["b"] - s["a"]))), "\n"))
     out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
     return both.select(*out, *([F.coalesce(F.size(g), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []))
 
