@@ -35,15 +35,17 @@ def test_query_equals_the_library(spark, sf, library):
 
 def test_table_does_not_change_counts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    a = q.count_tokens(docs, PATH, keep=["doc_id"], table_size=3, per_task=2, cache=10).toPandas().sort_values("doc_id")
+    a = q.count_tokens(docs, PATH, keep=["doc_id"], tails=(), cache=10).toPandas().sort_values("doc_id")
     b = q.count_tokens(docs, PATH, keep=["doc_id"]).toPandas().sort_values("doc_id")
     assert a.n_tokens.tolist() == b.n_tokens.tolist()
 
 
-def test_frequent_table_holds_the_commonest(spark):
-    docs = spark.createDataFrame([("the cat the dog the end",)] * 5, "text string")
-    table = q.frequent(docs, PATH, table_size=1)
-    assert list(table) == [" the"]
+def test_table_holds_lengths_of_the_vocabularys_words(library):
+    table = q.frequent(PATH)
+    assert 10_000 < len(table) < 3 * library.get_piece_size() and " the" in table and " the." in table
+    base = len(library.encode("\n"))
+    for pre in sorted(table)[::500]:
+        assert table[pre] == len(library.encode("\n" + pre)) - base
 
 
 def test_cases(spark, library):
