@@ -47,6 +47,11 @@ def materialize(df: DataFrame) -> DataFrame:
 _written: list[str] = []
 
 
+def written() -> int:
+    """How many folders there are now: what discard() takes as `since`."""
+    return len(_written)
+
+
 def discard(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
     """Deletes the folders written after the first `since`, except the one that `but` reads.
     Frames that read them can't be used any more."""

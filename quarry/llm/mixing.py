@@ -9,16 +9,18 @@ other children only when all siblings are full. Shares are whole tokens, rounded
 
 A leaf's share is met by full epochs and a prefix of one more: the documents in the order of
 md5(seed:epoch:id), as long as the tokens before them are less than what is left; the one that
-crosses the share is the last. Prefix sums are taken in two steps, over the 4096 values of the
-order's first three digits and within each, so a leaf with a third of all documents is
-still spread over 4096 groups. All arithmetic is on integers.
+crosses the share is the last. The place where the prefix ends is found in two steps: sums over the 4096 values of the
+order's first three digits name the one part in which it ends, and only that part's keys are put in order. So a leaf
+with a third of all documents is spread over 4096 groups, and texts are read once more to be filtered by their leaf's last key: they are not
+shuffled where the leaves' table is small enough to be broadcast (its rows are counted), nor are a hot leaf's in any case.
+All arithmetic is on integers.
 
 Defined cases. A document has ceil(UTF-8 bytes / 4) tokens (the reading of this measure that needs no
-vocabulary); null texts have 0 and are chosen like others. Null domain, language or source is the
-node 'none'. Null ids order as 'none'. Rows that tie in the order (repeated ids) are chosen together.
+vocabulary) unless tokens_col names a column of counts (null: 0); null texts have 0 and are chosen like others. Null domain, language
+or source is the node 'none'. Null ids order as 'none'. Rows that tie in the order (repeated ids) are chosen together.
 Nodes without a weight have weight 1; a weight of 0 leaves the subtree out, negative weights are refused.
-A budget above what is offered gives all epochs of everything. Empty tables: no rows.
-Result columns: the id, domain, lang, source, epoch (from 0), n_tokens.
+A leaf without tokens offers nothing. A budget above what is offered gives all epochs of all other leaves. Empty tables: no rows.
+Result: all columns of docs, with domain, epoch (from 0) and n_tokens; a column of docs that has one of these three names gives way.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, join_first, materialize, read, without
 
+LEVELS = ["domain", "lang", "source"]
 EPOCHS = 2
 SEED = 17
 #: The query's targets: 3/5 of the corpus' tokens, domains 5 : 3 : 2, English twice any other language.
@@ -35,6 +38,8 @@ BUDGET = (3, 5)
 DOMAIN_WEIGHTS = {"web": 5, "ref": 3, "code": 2}
 LANG_WEIGHTS = {"en": 2}
 SOURCE_WEIGHTS: dict[str, int] = {}
+#: Up to this many leaves (of about 100 bytes) their table is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -65,7 +70,7 @@ def fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def shares(leaves: DataFrame, budget: Column, epochs: int, weights: list[dict[str, int]]) -> DataFrame:
     """(domain, lang, source, tokens, share) of leaves (domain, lang, source, tokens)."""
-    levels = ["domain", "lang", "source"]
+    levels = LEVELS
     t = leaves
     for name, w in zip(levels, weights):
         t = t.withColumn(f"w_{name}", _weight(F.col(name), w))
@@ -80,28 +85,52 @@ def shares(leaves: DataFrame, budget: Column, epochs: int, weights: list[dict[st
     return t.join(given.withColumnRenamed("budget", "share"), levels).select(*levels, "tokens", "share")
 
 
-def mix_sources(docs: DataFrame, domain: Column, *, budget: Column, epochs: int = EPOCHS, seed: int = SEED, weights: list[dict[str, int]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The chosen (document, epoch) rows. budget: in tokens; may use the column `tokens`, those of all documents.
+def _key(seed: int, epoch: Column, doc: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc.cast("string"), F.lit("none"))))
+
+
+def _at_leaves(rows: DataFrame, plan: DataFrame, keys: list[str], broadcast_rows: int) -> DataFrame:
+    """rows joined to a stored table of leaves, whose n_docs tells how many rows each has."""
+    if plan.count() <= broadcast_rows:
+        return rows.join(F.broadcast(plan), keys)
+    return join_first(rows, plan, keys, "n_docs")
+
+
+def mix_sources(docs: DataFrame, domain: Column, *, budget: Column, epochs: int = EPOCHS, seed: int = SEED, weights: list[dict[str, int]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tokens_col: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The chosen (document, epoch) rows, with all columns of docs. budget: in tokens; may use the column `tokens`, those of all documents.
     domain: of the columns of docs."""
     weights = weights or [{}, {}, {}]
-    levels = ["domain", "lang", "source"]
-    named = [F.coalesce(c.cast("string"), F.lit("none")).alias(n) for n, c in zip(levels, (domain, docs[lang_col], docs[source_col]))]
-    src = docs.select(docs[id_col].alias("doc"), *named, n_tokens(docs[text_col]).alias("n"))
-    plan = shares(src.groupBy(*levels).agg(F.sum("n").alias("tokens")), budget, epochs, weights)
+    named = [F.coalesce(c.cast("string"), F.lit("none")).alias(n) for n, c in zip(LEVELS, (domain, docs[lang_col], docs[source_col]))]
+    n = F.coalesce(docs[tokens_col].cast("long"), F.lit(0)) if tokens_col else n_tokens(docs[text_col])
+    src = docs.select(docs[id_col].alias("doc"), *named, n.alias("n"))
+    leaves = materialize(src.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("n_docs")))
+    plan = shares(leaves, budget, epochs, weights).join(leaves.select(*LEVELS, "n_docs"), LEVELS)
     plan = plan.withColumn("epoch", F.least(F.expr("coalesce(share div nullif(tokens, 0), 0)"), F.lit(epochs).cast("long"))).withColumn("more", F.col("share") - F.col("epoch") * F.col("tokens"))
-    # Leaves are few next to documents but not bounded: Spark decides whether to broadcast by their size.
-    rows = src.join(plan.select(*levels, "epoch", "more"), levels)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc").cast("string"), F.lit("none"))))
-    rows = rows.withColumn("key", key).withColumn("part", F.substring("key", 1, 3))
-    parts = rows.groupBy(*levels, "part").agg(F.sum("n").alias("held"))
-    ahead = parts.withColumn("ahead", F.coalesce(F.sum("held").over(Window.partitionBy(*levels).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("held")
-    near = Window.partitionBy(*levels, "part").orderBy("key")
-    upto = F.sum("n").over(near)  # with the rows that tie
-    ties = F.sum("n").over(Window.partitionBy(*levels, "part", "key"))
-    rows = rows.join(ahead, [*levels, "part"]).withColumn("before", F.col("ahead") + upto - ties)
-    last = F.col("epoch") - 1 + F.when(F.col("before") < F.col("more"), 1).otherwise(0)
-    rows = rows.withColumn("last", last).filter("last >= 0")
-    return rows.select(F.col("doc").alias(id_col), *levels, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("epoch"), F.col("n").alias("n_tokens"))
+    plan = materialize(plan.select(*LEVELS, "n_docs", "epoch", "more"))
+
+    # The part in which each leaf's prefix ends, and the tokens before it.
+    rows = _at_leaves(src, plan, LEVELS, broadcast_rows).filter("more > 0").withColumn("key", _key(seed, F.col("epoch"), F.col("doc")))
+    parts = rows.groupBy(*LEVELS, "more", F.substring("key", 1, 3).alias("part")).agg(F.sum("n").alias("held"))
+    before = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.withColumn("ahead", F.coalesce(F.sum("held").over(before), F.lit(0))).filter("ahead < more")
+    ends = ends.groupBy(*LEVELS).agg(F.max_by(F.struct("part", "ahead"), "part").alias("end")).select(*LEVELS, "end.part", "end.ahead")
+    plan = materialize(plan.join(ends, LEVELS, "left"))
+
+    # The last key of the prefix: rows that tie are in it together.
+    rows = _at_leaves(src, plan, LEVELS, broadcast_rows).withColumn("key", _key(seed, F.col("epoch"), F.col("doc"))).filter(F.substring("key", 1, 3) == F.col("part"))
+    keys = rows.groupBy(*LEVELS, "ahead", "more", "key").agg(F.sum("n").alias("n"))
+    keys = keys.withColumn("before", F.col("ahead") + F.coalesce(F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    last = keys.filter("before < more").groupBy(*LEVELS).agg(F.max("key").alias("last"))
+    plan = materialize(plan.select(*LEVELS, "n_docs", "epoch").join(last, LEVELS, "left"))
+
+    names = fresh(docs, *(f"quarry_{x}" for x in (*LEVELS, "epoch", "last", "n")))
+    whole = docs.select(*docs.columns, *[c.alias(x) for c, x in zip(named, names)], n.alias(names[5]))
+    plan = plan.select(*[F.col(c).alias(x) for c, x in zip((*LEVELS, "epoch", "last"), names)], "n_docs")
+    out = _at_leaves(whole, plan, names[:3], broadcast_rows)
+    times = F.col(names[3]) + F.when(_key(seed, F.col(names[3]), F.col(id_col)) <= F.col(names[4]), 1).otherwise(0)
+    out = out.filter(times > 0)
+    kept = without(docs.columns, ["domain", "epoch", "n_tokens"])
+    return out.select(*kept, F.col(names[0]).alias("domain"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("epoch"), F.col(names[5]).alias("n_tokens"))
 
 
 def domain_of(source: Column) -> Column:
@@ -115,7 +144,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir) -> DataFrame:
-    return mix_documents(read(spark, sf_dir, "documents"))
+    out = mix_documents(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "domain", *[F.coalesce(c, F.lit("none")).alias(c) for c in ("lang", "source")], "epoch", "n_tokens")
 
 
 def _level(k: int) -> str:

@@ -65,6 +65,15 @@ def test_equals_brute_force(spark, case):
     got = q.mix_sources(docs, docs["dom"], budget=F.lit(budget), epochs=3, seed=5, weights=weights).collect()
     assert {(r.doc_id, r.epoch) for r in got} == slow_mix(rows, budget, 3, 5, weights)
     assert len(got) == len({(r.doc_id, r.epoch) for r in got})
+    texts = {i: "x" * (4 * n) for i, n, *_ in rows}
+    assert all(r.text == texts[r.doc_id] and r.n_tokens * 4 == len(r.text) and r.dom == r.domain for r in got)
+
+
+def test_leaves_beyond_the_broadcast_and_counted_tokens(spark):
+    rows = [(i, "y", "d", "en", f"s{i % 7}", i % 5 + 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dom string, lang string, source string, tokens int")
+    got = q.mix_sources(docs, docs["dom"], budget=F.lit(444), epochs=2, seed=3, tokens_col="tokens", broadcast_rows=0).collect()
+    assert {(r.doc_id, r.epoch) for r in got} == slow_mix([(i, n, d, la, s) for i, _, d, la, s, n in rows], 444, 2, 3, [{}, {}, {}])
 
 
 def test_shortage_goes_to_siblings_first(spark):
@@ -86,9 +95,14 @@ def test_oracle(spark, sf):
 def test_cases(spark):
     docs = clashing(awkward(spark))
     out = q.mix_documents(docs)
-    assert out.columns == ["doc_id", "domain", "lang", "source", "epoch", "n_tokens"]
+    assert out.columns == [*docs.columns, "domain", "epoch", "n_tokens"]
     rows = out.collect()
-    assert any(r.source == "none" or r.lang == "none" for r in q.mix_sources(docs, docs["source"], budget=F.expr("tokens * 2")).collect())
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    assert all((r.doc_id, r.text) in texts for r in rows)
+    every = q.mix_sources(docs.withColumn("Epoch", F.lit("x")), docs["source"], budget=F.expr("tokens * 2"))
+    assert every.columns == [*docs.columns, "domain", "epoch", "n_tokens"]
+    every = every.collect()
+    assert any(r.source is None and r.domain == "none" for r in every)
     twice = [r.epoch for r in rows if r.doc_id == 7]
     assert len(twice) % 2 == 0  # rows that tie are chosen together
     assert q.mix_documents(empty(spark)).count() == 0

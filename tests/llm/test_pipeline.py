@@ -3,7 +3,7 @@ import re
 import corpus_pipeline
 import numpy as np
 
-from quarry.llm import decontaminate, line_dedup, mixing, quality_rules
+from quarry.llm import decontaminate, mixing, quality_rules
 
 from .helpers import awkward, clashing
 from .test_line_dedup import slow as slow_lines
@@ -31,7 +31,7 @@ def test_equals_brute_force(spark, sf):
         if n >= 50 and 100 * repeated <= 50 * n and weight[at[r[0]]].mean() >= quality_rules.THRESHOLD:
             kept.append(r)
 
-    texts = slow_lines([r[:2] for r in kept], line_dedup.GRAM + line_dedup.WINDOW - 1)
+    texts = slow_lines([r[:2] for r in kept])
     kept = [(r[0], t, *r[2:]) for r, t in zip(kept, texts) if t == r[1] or re.search(r"\S", t)]
     classes = slow_classes([(r[0], " ".join(r[1].split())) for r in kept])
     kept = [r for r in kept if classes[r[0]][0] == r[0]]
@@ -42,6 +42,9 @@ def test_equals_brute_force(spark, sf):
 
     got = corpus_pipeline.run(spark, sf).collect()
     assert {(r.doc_id, r.epoch) for r in got} == want and len(got) == len(want) > 20
+    texts = {r[0]: r[1] for r in kept}
+    assert all(r.text == texts[r.doc_id] and r.n_tokens == (len(r.text.encode()) + 3) // 4 for r in got)
+    assert {"doc_id", "text", "lang", "source", "n_chars", "domain", "epoch", "n_tokens"} == set(got[0].asDict())
 
 
 def test_stages_keep_the_columns(spark, sf):
@@ -49,7 +52,19 @@ def test_stages_keep_the_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert "extra" in docs.columns and "n_chars" in docs.columns
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).columns[0] == "doc_id"
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.columns == [*docs.columns, "domain", "epoch", "n_tokens"]
+
+
+def test_what_stages_wrote_on_the_way_is_deleted(spark, sf):
+    from pathlib import Path
+
+    from quarry.llm.common import shared_dir
+
+    root = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(root.iterdir())
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 20 and len(set(root.iterdir()) - before) <= 5
 
 
 def test_stage_order():
