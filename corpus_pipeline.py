@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
-from quarry.llm.common import fresh, materialize, read
+from quarry.llm.common import discard, fresh, materialize, read, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, with their texts after the stages, and how often each is taken. What a stage stored on its way is
+    deleted as soon as its own result is stored; the last stage's inputs stay, since its result is computed from them."""
+    start = written()
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs)
+            discard(spark, start, docs)
     return docs
