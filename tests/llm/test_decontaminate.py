@@ -92,3 +92,38 @@ def test_slots_may_take_one_value_and_conflicts_cost_their_windows_alone(spark):
     assert set(got) == {(0, 0), (1, 1)} and not got[(0, 0)].exact and not got[(1, 1)].exact
     n = len(twice.split())
     assert got[(0, 0)].n_covered == len(item.split()) and n - 8 <= got[(1, 1)].n_covered < n
+
+
+def test_partial_runs_of_every_length_equal_brute_force(spark):
+    """Items of 1 to 40 tokens, runs of them of every kind of length, at every offset modulo 8."""
+    rng = random.Random(8)
+    name = lambda x: chr(97 + x % 26) * (1 + x // 26)
+    items = [[f"{name(n)}z{name(k)}" for k in range(n)] for n in range(1, 41)]
+    docs, want = [], set()
+    for n, item in enumerate(items, 1):
+        for k in sorted({1, n // 2, (n + 1) // 2, n, *(x for x in (4, 7, 8, 9, 12, 13, 14) if x <= n)} - {0}):
+            start, offset = rng.randrange(n - k + 1), rng.randrange(8)
+            if k == n if n < q.WINDOW else k >= q.WINDOW and k >= min(q.COVERED, n * q.SHARE):
+                want.add((len(docs), n - 1))
+            docs.append(" ".join(["lead"] * offset + item[start : start + k] + ["tail"] * 3))
+    assert set(found(spark, docs, [" ".join(x) for x in items])) == want and len(want) > 100
+
+
+def test_short_and_dense_items_are_matched_by_their_values(spark):
+    items = ["What is 12 times 17?", "Zip codes: 10115, 20095, 80331, 50667, 60311, 70173, 40213, 44135", "two words"]
+    docs = ["He asked: What is 12 times 17? Nobody knew", "a list 10115 20095 80331 50667 60311 70173 40213 44135 but Zip codes stand elsewhere", "some text with two words of mine", "what is 12 times 18?",
+            "Zip codes: 10115, 20095, 80331, 50667, 60311, 70173, 40213, 44135", "Zip codes: 10115, 20095, 80331, 99999, 60311, 70173, 40213, 44135"]
+    got = set(found(spark, docs, items))
+    assert {(0, 0), (2, 2), (4, 1)} <= got and not {(1, 1), (5, 1)} & got
+
+
+def test_a_first_word_is_found_within_a_sentence(spark):
+    item = "What is the capital of the old republic"
+    assert set(found(spark, ["so I ask you: What is the capital of the old republic", "then, tell me What is the capital of the old republic", item], [item])) == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_rows_of_one_item_are_forms_of_it(spark):
+    items = spark.createDataFrame([(0, ITEM), (0, "an other question with more than eight plain words in it"), (0, ITEM)], ITEMS)
+    docs = spark.createDataFrame([(0, ITEM), (1, "it reads an other question with more than eight plain words in it")], "doc_id long, text string")
+    got = q.leaks(docs, items).collect()
+    assert sorted((r.doc, r.item) for r in got) == [(0, 0), (1, 0)]
