@@ -8,8 +8,8 @@ are removed, and the offsets of what is removed and of what is kept, in code poi
 text, are part of the result. With min_words = 0 every repeat goes.
 
 The earliest occurrence is found by an aggregation that combines within tasks, so a unit in a third of all
-documents does not meet in one task; repeats are joined to it by digest, and Spark splits the tasks of
-a hot digest.
+documents does not meet in one task. Repeats are joined to it by digest; the few digests that more than a two-thousandth of all
+units have are broadcast instead, and their rows stay where they are.
 
 Rank: (id, hash of the text, place in the text), nulls first. Rows equal in id and text are one document to this rank.
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, read, slices, without
+from .common import fresh, join_first, materialize, read, slices, without
 
 MIN_WORDS = 20
 
@@ -68,11 +68,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kind = src.schema["doc"].dataType.simpleString()
     all_units = materialize(src.mapInArrow(_rows(sentences), f"hi long, lo long, doc {kind}, th long, no int, start int, end int, words int"))
     # Counts of digests alone first: most units occur once and go no further.
-    often = all_units.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi", "lo")
-    some = materialize(all_units.join(often, ["hi", "lo"], "left_semi"))
+    often = materialize(all_units.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    some = materialize(join_first(all_units, often, ["hi", "lo"]))
     place = F.struct("doc", "th", "no", "start")
-    first = some.groupBy("hi", "lo").agg(F.min(place).alias("first"))
-    later = some.join(first, ["hi", "lo"]).filter(place > F.col("first")).dropDuplicates(["doc", "th", "no"])
+    first = materialize(some.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.first("n").alias("n")))
+    later = join_first(some.drop("n"), first, ["hi", "lo"]).filter(place > F.col("first")).dropDuplicates(["doc", "th", "no"])
     # Runs within a document: places that follow each other.
     run = F.col("no") - F.row_number().over(Window.partitionBy("doc", "th").orderBy("no"))
     runs = later.withColumn("run", run).groupBy("doc", "th", "run").agg(
