@@ -4,20 +4,24 @@ A document is the set of its `width`-word shingles (words: runs without ASCII wh
 a text of fewer words is one shingle). Documents with equal sets form a class of copies
 and are represented by one. Representatives are split recursively:
 
-* In each of `runs` runs a representative chooses about `fan` of its shingles by a hash that all
+* In each run a representative chooses about `fan` of its shingles by a hash that all
   representatives share, so similar sets choose the same ones; each (run, shingle) is a bucket.
-* Buckets of one go no further. Buckets above `bucket` are split again: by tokens of a
-  128-part one-permutation sketch of the set, about `deep_fan` of them, up to `depth` times.
+* Buckets of one go no further. Buckets above `bucket` are split again: by tokens of the set that a
+  128-part one-permutation sketch keeps (the least of each part), about `deep_fan` of them, up to `depth` times.
   A bucket of unlike documents that share a few hot shingles falls apart; a bucket whose rows
   are alike on average is a group of near copies and is compared as it is.
-* Buckets are compared by brute force, in blocks of `bucket` rows when larger, so no
+* Buckets are compared by brute force, in blocks of `bucket` rows or `tokens` shingles when larger, so no
   task holds an unbounded group. Sketches first name candidates; then the
   whole sets of just those documents are compared exactly. A pair counts in
   the least bucket that both share, so once.
-
-A pair at the threshold shares 0.8 * fan * runs chosen shingles on average, Poisson
-distributed: at the defaults it is missed with a probability of 3e-6 if the buckets are small,
-and, by an estimate, of about 1e-3 if every one must be split; the tests ask for 99 % of the links there. Pairs never leave a task as rows:
+* Runs are repeated until the target `recall`: their number follows from it. A pair at the threshold t meets in a
+  run through a branching process: it shares fan * t first paths on average, and each of these
+  shares deep_fan * t children at each split. missed() gives the probability that all die out where every bucket is split
+  `depth` times, the worst case; the number of runs is the least that brings it to 1 - recall. At the defaults that is 8 runs and a miss of
+  2.3e-4 where all is split, 3e-6 where no bucket is. deep_fan * t lies well above 1 (1.6), so
+  paths do not die out with depth.
+
+Pairs never leave a task as rows:
 a task gives each document's number of partners and a spanning forest of its pairs. The classes are the
 connected components of those forests.
 
@@ -28,6 +32,7 @@ with no links and no copies. Null ids: such a document is compared like others,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -42,11 +47,13 @@ from .components import components
 
 WIDTH = 5
 THRESHOLD = Fraction(4, 5)
-RUNS = 8
+RECALL = 0.9995
 FAN = 2.0
-DEEP_FAN = 1.25
+DEEP_FAN = 2.0
 DEPTH = 5
 BUCKET = 512
+#: Shingles of a block, 32 MB of them; a set that is larger is a block of its own size.
+TOKENS = 1 << 22
 PARTS = 128
 #: Mean likeness from which a large bucket counts as a group of near copies: half the threshold.
 DENSE = 0.4
@@ -98,6 +105,18 @@ def chosen(tokens: np.ndarray, path: int, fan: float) -> np.ndarray:
     return mix(g[g <= U64(most)] + U64(path))
 
 
+def missed(threshold: float, fan: float, deep_fan: float, depth: int) -> float:
+    """The probability that one run does not bring a pair at the threshold together, if its buckets are split `depth` times."""
+    gone = 0.0
+    for _ in range(depth):
+        gone = math.exp(-deep_fan * threshold * (1 - gone))
+    return math.exp(-fan * threshold * (1 - gone))
+
+
+def runs_for(recall: float, threshold: float, fan: float, deep_fan: float, depth: int) -> int:
+    return max(1, math.ceil(math.log(1 - recall) / math.log(missed(threshold, fan, deep_fan, depth))))
+
+
 def _first(width: int, runs: int, fan: float):
     seeds = [xxhash.xxh64_intdigest(b"run", seed=r) for r in range(runs)]
 
@@ -118,18 +137,19 @@ def _first(width: int, runs: int, fan: float):
 
 
 def _deeper(fan: float):
-    """(key, node, sk) -> (key, node) of the next level."""
+    """(key, node, size, sk) -> (key, node, size) of the next level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, nodes = [], []
-            for key, node, sk in zip(*(b.column(i).to_pylist() for i in range(3))):
+            keys, at_row = [], []
+            for i, (key, sk) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
                 s = np.frombuffer(sk, np.uint16).astype(U64)
                 (at,) = np.nonzero(s)
-                for k in chosen((at.astype(U64) << U64(32)) | s[at], key & (2**64 - 1), fan).view(np.int64).tolist():
-                    keys.append(k)
-                    nodes.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], ["key", "node"])
+                found = chosen((at.astype(U64) << U64(32)) | s[at], key & (2**64 - 1), fan).view(np.int64).tolist()
+                keys += found
+                at_row += [i] * len(found)
+            at_row = pa.array(at_row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(1).take(at_row), b.column(2).take(at_row)], ["key", "node", "size"])
 
     return run
 
@@ -259,25 +279,26 @@ def _token_sets(width: int):
     return run
 
 
-def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: Fraction = THRESHOLD, runs: int = RUNS, fan: float = FAN, deep_fan: float = DEEP_FAN, depth: int = DEPTH, bucket: int = BUCKET, dense: float = DENSE, slack: float = SLACK) -> DataFrame:
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: Fraction = THRESHOLD, recall: float = RECALL, fan: float = FAN, deep_fan: float = DEEP_FAN, depth: int = DEPTH, bucket: int = BUCKET, tokens: int = TOKENS, dense: float = DENSE, slack: float = SLACK) -> DataFrame:
     """A row for each distinct (id, shingle set) of docs: doc (the id), node (a hash of the set), size (of the set),
     class (the least id of its class), n_links (other sets at `threshold` or more), n_copies (other rows of
     the same set)."""
     src = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
+    runs = runs_for(recall, float(threshold), fan, deep_fan, depth)
     every = materialize(src.mapInArrow(_first(width, runs, fan), f"doc {kind}, hi long, lo long, size int, keys array<long>, sk binary"))
     some = every.filter("size > 0")
     node = F.xxhash64("hi", "lo")
 
     # A representative for each set.
     classes = some.groupBy("hi", "lo").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("members")).select("rep", node.alias("node"), "members")
-    whole = some.select("doc", "keys", "sk", node.alias("of")).join(classes, (F.col("of") == F.col("node")) & F.col("doc").eqNullSafe(F.col("rep")))
-    reps = materialize(whole.select("node", "rep", "keys", "sk").dropDuplicates(["node"]))
+    whole = some.select("doc", "size", "keys", "sk", node.alias("of")).join(classes, (F.col("of") == F.col("node")) & F.col("doc").eqNullSafe(F.col("rep")))
+    reps = materialize(whole.select("node", "rep", "size", "keys", "sk").dropDuplicates(["node"]))
 
     leaves = _leaves(reps, depth, bucket, deep_fan, dense)
-    rows = leaves.groupBy("node").agg(F.collect_list(F.struct(F.col("key").alias("leaf"), "n")).alias("all")).join(reps.select("node", "sk"), "node")
+    rows = leaves.groupBy("node").agg(F.collect_list(F.struct(F.col("key").alias("leaf"), "n", "held")).alias("all")).join(reps.select("node", "sk"), "node")
     rows = rows.select("node", "sk", F.col("all.leaf").alias("leaves"), F.explode("all").alias("x"))
-    rows = rows.select("node", "sk", "leaves", F.col("x.leaf").alias("leaf"), F.ceil(F.col("x.n") / bucket).cast("int").alias("blocks"))
+    rows = rows.select("node", "sk", "leaves", F.col("x.leaf").alias("leaf"), F.ceil(F.greatest(F.col("x.n") / bucket, F.col("x.held") / tokens)).cast("int").alias("blocks"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("leaf", "node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("leaf", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "block", "leaves", "sk")
     found = materialize(_by_group(rows).mapInArrow(_candidates(threshold, slack), "leaf long, one int, two int, node long, block int, leaves array<long>"))
@@ -313,24 +334,24 @@ def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaves(reps: DataFrame, depth: int, bucket: int, deep_fan: float, dense: float) -> DataFrame:
-    """(key, node, n): the buckets of two or more that are compared, with their sizes. A large bucket whose
+    """(key, node, n, held): the buckets of two or more that are compared, with their numbers of sets and of shingles. A large bucket whose
     rows are on average `dense` like one of them, chosen by hash, is a group of near copies: splitting it
     further would only repeat it, so it is compared as it is."""
-    now, leaves = reps.select("node", F.explode("keys").alias("key")), None
+    now, leaves = reps.select("node", "size", F.explode("keys").alias("key")), None
     for level in range(depth + 1):
-        counts = now.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        counted = materialize(now.join(counts, "key").select("key", "node", "n"))
-        done = counted if level == depth else counted.filter(F.col("n") <= bucket)
+        counts = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).filter("n > 1")
+        counted = materialize(now.join(counts, "key").select("key", "node", "size", "n", "held"))
+        done = (counted if level == depth else counted.filter(F.col("n") <= bucket)).select("key", "node", "n", "held")
         leaves = done if leaves is None else leaves.unionByName(done)
         large = counted.filter(F.col("n") > bucket)
         if level == depth or not large.head(1):
             break
-        wide = materialize(large.join(reps.select("node", "sk"), "node").select("key", "node", "n", "sk"))
+        wide = materialize(large.join(reps.select("node", "sk"), "node").select("key", "node", "size", "n", "held", "sk"))
         pivot = wide.groupBy("key").agg(F.min_by("sk", F.xxhash64("key", "node")).alias("pivot"))
         like = wide.join(pivot, "key").select("key", "sk", "pivot").mapInArrow(_likeness, "key long, like double")
         alike = materialize(like.groupBy("key").agg(F.avg("like").alias("like")).filter(F.col("like") >= dense).select("key"))
-        leaves = leaves.unionByName(wide.join(alike, "key", "left_semi").select("key", "node", "n"))
-        now = materialize(wide.join(alike, "key", "left_anti").select("key", "node", "sk").mapInArrow(_deeper(deep_fan), "key long, node long").distinct())
+        leaves = leaves.unionByName(wide.join(alike, "key", "left_semi").select("key", "node", "n", "held"))
+        now = materialize(wide.join(alike, "key", "left_anti").select("key", "node", "size", "sk").mapInArrow(_deeper(deep_fan), "key long, node long, size int").distinct())
     return leaves
 
 

@@ -77,6 +77,32 @@ def test_recall_when_every_bucket_is_split(spark):
     assert all(got[i][1] <= want[i][1] for i in want)
 
 
+def test_runs_follow_from_the_target_recall(spark):
+    assert q.runs_for(0.9995, 0.8, 2.0, 2.0, 5) == 8 and q.missed(0.8, 2.0, 2.0, 5) ** 8 < 5e-4
+    assert q.runs_for(0.99, 0.8, 2.0, 2.0, 5) < 8 < q.runs_for(0.9995, 0.5, 2.0, 2.0, 5)
+
+
+def test_splits_to_the_last_level_reach_the_target(spark):
+    """Simulated: the paths that pairs at the threshold share after five splits of every bucket."""
+    rng = np.random.default_rng(5)
+    lost, pairs = 0, 1500
+    for _ in range(pairs):
+        common, more = rng.integers(1, 2**63, 160, dtype=np.uint64), rng.integers(1, 2**63, 40, dtype=np.uint64)
+        a, b = np.unique(np.r_[common, more[:20]]), np.unique(np.r_[common, more[20:]])
+        x, y = ([(int(i) << 32) | int(s[i]) for i in np.nonzero(s)[0]] for s in (q.sketch(a), q.sketch(b)))
+        x, y = np.array(x, np.uint64), np.array(y, np.uint64)
+        paths = {p for r in range(q.runs_for(0.9, 0.8, 2.0, 2.0, 5)) for p in set(q.chosen(a, r, 2.0).tolist()) & set(q.chosen(b, r, 2.0).tolist())}
+        for _ in range(5):
+            paths = set(list({c for p in paths for c in set(q.chosen(x, p, 2.0).tolist()) & set(q.chosen(y, p, 2.0).tolist())})[:50])
+        lost += not paths
+    assert lost / pairs <= 0.1 * 1.3
+
+
+def test_a_block_is_bounded_by_shingles(spark):
+    rows = corpus(random.Random(2), 1, 60, 150, 5)
+    assert run(spark, rows, tokens=1000) == slow(rows)
+
+
 def test_common_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint64)) for _ in range(12)]
