@@ -51,6 +51,49 @@ def test_long_words_do_not_underflow():
     assert np.isfinite(out).all() and abs(out[0, 0] - 200 * math.log(0.1) - math.log(0.9)) < 1e-6
 
 
+def test_long_words_are_scored_whole():
+    """Against the same sum in logarithms; a word of parts would differ at the cuts."""
+    rng = np.random.default_rng(4)
+    pieces = sorted(["▁", "a", "b", "ab", "ba", "aba", "bb"])
+    p = rng.dirichlet(np.ones(len(pieces)))
+    word = "▁" + "".join(rng.choice(["a", "b", "x"], 5000, p=[0.5, 0.45, 0.05]))
+    log = [0.0] + [-math.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        terms = [log[i] + math.log(p[pieces.index(s)] if s in pieces else q.UNKNOWN) for i in range(max(0, j - 3), j) if (s := word[i:j]) in pieces or len(s) == 1]
+        top = max(terms)
+        log[j] = top + math.log(sum(math.exp(t - top) for t in terms))
+    lattice = q.Lattice(pieces)
+    assert math.isclose(lattice.forward([word], lattice.scaled(p)[:, None])[0, 0], log[-1], rel_tol=1e-9)
+    counts = lattice.expected([word], np.array([1.0]), lattice.scaled(p))
+    assert math.isclose(sum(counts[i] * len(x) for i, x in enumerate(pieces)) + counts[lattice.unknown], len(word), rel_tol=1e-6)
+
+
+def test_prediction_and_posterior_equal_brute_force():
+    """Of whole texts, with a hand-made model of two languages."""
+    pieces = sorted(["▁", "a", "b", "ab", "▁a"])
+    rng = np.random.default_rng(6)
+    model = q.Model(["x", "y"], pieces, rng.dirichlet(np.ones(len(pieces)), 2))
+    texts = ["ab ba 12 A", "b b b ab", "", None, "77 !"]
+    langs, scores = q.Scorer(model).predict(texts)
+    for t, lang, score in zip(texts, langs, scores):
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        both = [math.prod(all_segmentations("▁" + w, pieces, p) for w in words) for p in model.p]
+        assert lang == ("x" if both[0] >= both[1] else "y") and math.isclose(score, max(both) / sum(both), rel_tol=1e-9)
+
+
+def test_too_many_labels_and_repeated_ids(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        q.fit(docs, PATH, max_languages=4)
+    same = spark.createDataFrame([(1, "aa bb", "x")] * 50 + [(2, "cc dd", "y")], "doc_id long, text string, lang string")
+    assert q.fit(same, PATH, per_language=1).langs == ["x", "y"]
+
+
 def test_held_out_accuracy(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     got = q.query(spark, sf).toPandas()
