@@ -1,14 +1,19 @@
 """HTML extraction: a tree builder with implied tags, and a renderer of all visible text.
 
 The builder accepts what browsers accept: tags that are never closed, cells without rows, stray end
-tags. The renderer walks the tree without recursion. Blocks start on a line of their own, paragraphs, headings, lists
+tags. Whatever can't stand in a head ends it: text, or the start tag of an element of the body. A tag that the end of the page
+cuts off is dropped. The renderer walks the tree without recursion. Blocks start on a line of their own, paragraphs, headings, lists
 and tables are set apart by an empty line, list items have markers and indentation, preformatted text keeps its
-spaces, and the cells of a table are aligned in columns. Not visible: the head, scripts, styles, templates, comments,
-elements with `hidden`, and those styled display:none or visibility:hidden.
+spaces, and the cells of a table are aligned in columns, those that span rows or columns included. Not visible: the head, scripts, styles, templates,
+comments, elements with `hidden`, those styled display:none, and the text of those styled visibility:hidden but not of elements
+within that are visible again.
+
+A column starts two characters behind the longest line that has it to its right. Such lines are wrapped at spaces after `wrap`
+characters; a word that is longer sticks out and moves what is right of it. The last cell of a row is never wrapped. So a
+table takes at most `wrap` characters of padding for each of its cells' lines.
 
 Defined cases. Null markup gives null, empty markup empty text. Text without tags is text. Repeated rows
-are rendered alike. Columns of cells longer than `aligned` characters are not padded, so
-one long cell can't blow up a table. Any depth of nesting is accepted.
+are rendered alike. Any depth of nesting is accepted. Very long pages: the scan is linear. Spans above 1,000 count as 1,000.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from .common import per_text, read
 
-ALIGNED = 60
+WRAP = 80
 
 #: Element names of the HTML standard by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,7 +33,7 @@ RAW = frozenset("script style xmp iframe noembed noframes textarea title".split(
 UNSEEN = frozenset("head title meta link script style template noscript iframe object audio video canvas svg math datalist noembed noframes".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr li legend main menu nav ol p pre search section summary table ul caption thead tbody tfoot tr td th".split()
+    "header hgroup hr li legend main menu nav ol p pre search section summary table ul caption thead tbody tfoot tr td th option optgroup".split()
 )
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table pre blockquote figure hr".split())
 #: What a start tag closes, if it is open: (closed elements, elements beyond which it does not look).
@@ -46,12 +51,16 @@ CLOSES = {
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
     "body": (frozenset(["head"]), frozenset()),
 }
+#: Elements that may stand in a head.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes".split())
 _SCOPE = frozenset(["table", "td", "th", "caption", "html", "button"])
 
 #: A tag without its "<" and ">"; possessive, so a scan is linear.
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
+_SPAN = re.compile(r"\s*0*([1-9]\d{0,8})")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 _LIST = frozenset(["ul", "ol", "menu", "dir"])
 
@@ -96,6 +105,8 @@ def parse(markup: str) -> Node:
 
     def say(text: str) -> None:
         if text:
+            if stack[-1].tag == "head" and not text.isspace():
+                pop_to(len(stack) - 1)
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
     while at < n:
@@ -122,8 +133,8 @@ def parse(markup: str) -> Node:
             at = end
             continue
         m = _TAG.match(markup, lt + 1)
-        if not m:  # never closed: the rest is text
-            say(markup[at:])
+        if not m:  # cut off by the end of the page
+            say(markup[at:lt])
             break
         say(markup[at:lt])
         at = m.end()
@@ -142,6 +153,10 @@ def parse(markup: str) -> Node:
                     if stack[k].tag in ("td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
                         break  # an end tag inside a cell closes nothing outside it
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD and tag != "html":
+            pop_to(len(stack) - 1)
+            if tag == "head":
+                continue
         if tag in BLOCKS and counts.get("p"):
             close(frozenset(["p"]), _SCOPE)
         if tag in CLOSES:
@@ -170,7 +185,18 @@ def hidden(node: Node) -> bool:
         return False
     if "hidden" in low and (node.attr("hidden") is not None or node.tag == "input"):
         return True
-    return "style" in low and bool(_HIDDEN_STYLE.search(node.attr("style") or ""))
+    return "style" in low and bool(_NO_DISPLAY.search(node.attr("style") or ""))
+
+
+def visibility(node: Node) -> bool | None:
+    """Whether the element's style makes its text visible or not; None if it says nothing."""
+    m = _VISIBILITY.search(node.attr("style") or "") if "visibility" in node.attrs.lower() else None
+    return None if m is None else m[1].lower() == "visible"
+
+
+def span(node: Node, name: str) -> int:
+    m = _SPAN.match(node.attr(name) or "")
+    return min(int(m[1]), 1000) if m else 1
 
 
 class Lines:
@@ -223,32 +249,73 @@ class Lines:
         return self.done
 
 
-def table_lines(rows: list[list[list[str]]], aligned: int) -> list[str]:
-    """Rows of cells (lists of lines) in columns."""
-    widths: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            if k == len(widths):
-                widths.append(0)
-            widths[k] = max([widths[k], *(len(x) for x in cell if len(x) <= aligned)])
+def wrapped(line: str, wrap: int) -> list[str]:
+    """The line cut at spaces, so that no part is longer than `wrap` but single words."""
     out = []
+    while len(line) > wrap:
+        least = len(line) - len(line.lstrip(" "))
+        cut = line.rfind(" ", least + 1, wrap + 1)
+        if cut < 0:
+            cut = line.find(" ", max(wrap, least + 1))
+        if cut < 0:
+            break
+        out.append(line[:cut])
+        line = line[cut + 1 :]
+    return [*out, line]
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]], wrap: int) -> list[str]:
+    """Rows of cells (lines, columns, rows) in columns."""
+    grid: list[list[tuple[int, list[str]]]] = []
+    held: dict[int, int] = {}  # column -> rows for which a cell from above still takes it
     for row in rows:
-        for i in range(max((len(c) for c in row), default=0)):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(widths[k]) for k, cell in enumerate(row)).rstrip())
+        placed, k = [], 0
+        for lines, across, down in row:
+            while held.get(k):
+                k += 1
+            placed.append((k, lines))
+            for c in range(k, k + across):
+                held[c] = max(held.get(c, 0), down)
+            k += across
+        held = {c: n - 1 for c, n in held.items() if n > 1}
+        last = max((i for i, (_, lines) in enumerate(placed) if lines), default=-1)
+        grid.append([(k, [x for line in lines for x in wrapped(line, wrap)] if i < last else lines) for i, (k, lines) in enumerate(placed[: last + 1])])
+    # Where each column starts: behind the lines of the cells that stand just before it in some row.
+    behind: dict[int, dict[int, int]] = {}
+    for row in grid:
+        for (k, lines), (after, _) in zip(row, row[1:]):
+            own = behind.setdefault(after, {})
+            own[k] = max(own.get(k, 0), max((len(x) for x in lines if len(x) <= wrap), default=0))
+    starts: dict[int, int] = {}
+    at = 0
+    for k in sorted({k for row in grid for k, _ in row}):
+        at = starts[k] = max([at, *(starts[j] + n + 2 for j, n in behind.get(k, {}).items())])
+    out = []
+    for row in grid:
+        for i in range(max((len(lines) for _, lines in row), default=0)):
+            line = ""
+            for k, lines in row:
+                if i < len(lines) and lines[i]:
+                    line = line.ljust(starts[k]) if not line or len(line) + 2 <= starts[k] else line + "  "
+                    line += lines[i]
+            out.append(line.rstrip())
     return out
 
 
-def render(root: Node, aligned: int = ALIGNED) -> str:
+def render(root: Node, wrap: int = WRAP) -> str:
     """All visible text of a tree."""
     out = Lines()
     flows: list[Lines] = []  # of the cells around
     tables: list[list] = []
     lists: list[list] = []
     pre = 0
+    shown: list[tuple[Node, bool]] = [(root, True)]  # elements that set the visibility of their text
     work: list = [root]
     while work:
         x = work.pop()
         if isinstance(x, str):
+            if not shown[-1][1]:
+                continue
             if pre:
                 first, *more = x.replace("\r\n", "\n").split("\n")
                 if first:
@@ -273,6 +340,8 @@ def render(root: Node, aligned: int = ALIGNED) -> str:
                 continue
             if tag == "input" or hidden(x):
                 continue
+            if (seen := visibility(x)) is not None:
+                shown.append((x, seen))
             if tag in BLOCKS and tag not in ("td", "th", "tr"):
                 out.block(tag in APART and not (tag in _LIST and lists))
             if tag == "li":
@@ -298,8 +367,11 @@ def render(root: Node, aligned: int = ALIGNED) -> str:
                     out = Lines()
                 else:
                     out.space = True
-            elif tag == "q":
+            elif tag == "q" and shown[-1][1]:
                 out.words('"')
+            elif tag == "optgroup" and shown[-1][1]:
+                out.words(x.attr("label") or "")
+                out.block(False)
             work.append((x,))
             work.extend(reversed(x.children))
             continue
@@ -310,10 +382,9 @@ def render(root: Node, aligned: int = ALIGNED) -> str:
                 cell, out = out.lines(), flows.pop()
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append(cell)
-                span = x.attr("colspan")
-                if span and re.fullmatch(r"[2-9]|[1-9]\d", span):
-                    tables[-1][-1] += [[]] * (int(span) - 1)
+                tables[-1][-1].append((cell, span(x, "colspan"), span(x, "rowspan")))
+            if shown[-1][0] is x:
+                shown.pop()
             continue
         if tag == "li":
             out.flush()
@@ -327,22 +398,24 @@ def render(root: Node, aligned: int = ALIGNED) -> str:
         elif tag == "pre":
             pre -= 1
         elif tag == "table":
-            for s in table_lines(tables.pop(), aligned):
+            for s in table_lines(tables.pop(), wrap):
                 out.line(s)
-        elif tag == "q":
+        elif tag == "q" and shown[-1][1]:
             out.put('"')
+        if shown[-1][0] is x:
+            shown.pop()
         if tag in BLOCKS and tag != "tr":
             out.block(tag in APART and not (tag in _LIST and lists))
     return "\n".join(out.lines()).strip("\n")
 
 
-def extract(markup: str | None, aligned: int = ALIGNED) -> str | None:
-    return None if markup is None else render(parse(markup), aligned)
+def extract(markup: str | None, wrap: int = WRAP) -> str | None:
+    return None if markup is None else render(parse(markup), wrap)
 
 
-def extract_text(pages: DataFrame, *, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None, aligned: int = ALIGNED) -> DataFrame:
+def extract_text(pages: DataFrame, *, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None, wrap: int = WRAP) -> DataFrame:
     """pages' columns `keep` (all by default) with the visible text of each page."""
-    return per_text(pages, html_col, f"`{text_col}` string", lambda: lambda texts: [[extract(t, aligned) for t in texts]], keep)
+    return per_text(pages, html_col, f"`{text_col}` string", lambda: lambda texts: [[extract(t, wrap) for t in texts]], keep)
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -38,6 +38,66 @@ def test_hostile_markup_is_linear():
         assert isinstance(q.extract(s), str)
 
 
+def test_what_ends_a_head():
+    assert q.extract("<head><title>T</title><p>Hello world</p>") == "Hello world"
+    assert q.extract("<html><head><meta charset=utf-8><div>visible</div>") == "visible"
+    assert q.extract("<html><head><meta charset=utf-8><title>x</title> stray text<b>bold</b>") == "stray textbold"
+    assert q.extract("<head><link rel=x><script>no</script><style>no</style></head><body>yes") == "yes"
+    assert q.extract("<head><head>text") == "text"
+
+
+def test_cells_that_span_rows():
+    assert q.extract("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>dd<td>e<tr><td>f<td>g<td>h</table>") == "a  b   c\n   dd  e\nf  g   h"
+    assert q.extract("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>") == "a  b  c\nd     e\nf     g"
+    assert q.extract("<table><tr><td colspan=2 rowspan=2>wide one<td>x<tr><td>y<tr><td>1<td>2<td>3</table>") == "wide one  x\n          y\n1  2      3"
+
+
+def test_long_cells_are_wrapped_and_aligned():
+    line = " ".join(["word"] * 40)
+    got = q.extract(f"<table><tr><td>{line}<td>right<tr><td>b<td>c</table>").split("\n")
+    assert all(len(x) <= q.WRAP for x in got[1:-1]) and " ".join(x[:80].strip() for x in got[:-1]).replace("right", "").split() == line.split()
+    assert got[0].index("right") == got[-1].index("c") and len(got) == 4
+    assert q.extract(f"<table><tr><td>n<td>{line}</table>") == f"n  {line}"
+    assert q.wrapped("a b", 1) == ["a", "b"] and q.wrapped("abc de", 2) == ["abc", "de"] and q.wrapped("  abc", 3) == ["  abc"]
+
+
+def test_visible_within_hidden_and_tags_cut_off():
+    assert q.extract('<div style="visibility:hidden">no <b style="visibility: visible">yes <i>also</i></b> no</div> after') == "yes also\nafter"
+    assert q.extract('<p style="backface-visibility:hidden">shown') == "shown" and q.extract('<p style="color:red; DISPLAY : none">x') == ""
+    assert q.extract('text <div class="a') == "text" and q.extract("a < b") == "a < b"
+    assert q.extract("<select><option>One<option>Two<optgroup label=G><option>Three</select>") == "One\nTwo\nG\nThree"
+
+
+def test_words_of_random_pages_equal_a_plain_recursion():
+    """Pages are made as trees; an independent walk over the tree gives the visible words in order."""
+    import random
+
+    rng = random.Random(9)
+    blocks, lines = ["div", "p", "section", "h2", "blockquote", "li", "td"], ["b", "i", "span", "a", "em"]
+
+    def make(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.35:
+            w = f"w{rng.randrange(1000)}"
+            return f" {w} ", [w]
+        tag = rng.choice(lines if kind < 0.6 else blocks)
+        inside = [make(depth - 1) for _ in range(rng.randint(0, 3))]
+        body, words = " ".join(m for m, _ in inside), [w for _, x in inside for w in x]
+        if tag in blocks and "<p>" in body and tag == "p":
+            tag = "div"
+        wraps = {"li": ("<ul><li>", "</ul>"), "td": ("<table><tr><td>", "</table>")}
+        a, b = wraps.get(tag, (f"<{tag}>", f"</{tag}>"))
+        if rng.random() < 0.1:
+            return f"<div hidden>{body}</div>", []
+        return a + body + b, words
+
+    for _ in range(400):
+        parts = [make(4) for _ in range(5)]
+        markup = "<html><head><title>t</title>" + "".join(m for m, _ in parts)
+        got = re.findall(r"w\d+", q.extract(markup))
+        assert got == [w for _, x in parts for w in x], markup
+
+
 class Plain(html.parser.HTMLParser):
     """The words of text outside head, script and style, by the standard library."""
 
