@@ -73,3 +73,16 @@ def test_filter_keeps_columns(spark):
     out = q.filter_documents(docs, spark.createDataFrame([(8, 1, 0)], LABELS))
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {8}  # its two texts are the target, so the rest of the corpus is unlike it
+
+
+def test_threshold_holds_on_labels_it_was_not_fitted_on(spark, sf):
+    """A third of the labels, chosen by hash, is kept from the fit; the verdicts on it come from the others alone."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(3)) == 0
+    weights = q.fit(docs, labels.filter(~held))
+    got = q.judge(docs, weights, keep=["doc_id"]).join(labels.filter(held), "doc_id").filter("not base_failed").toPandas()
+    good, junk = got[got.quality == 1], got[got.quality == 0]
+    assert len(good) > 60 and len(junk) > 5
+    assert good.kept.mean() >= 0.99 and junk.kept.mean() <= 0.1
