@@ -63,7 +63,7 @@ def discard(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -
             _written.remove(path)
 
 
-def join_first(rows: DataFrame, first: DataFrame, keys: list[str], n: str = "n", most: int = 2000, least: int = 10_000) -> DataFrame:
+def join_first(rows: DataFrame, first: DataFrame, keys: list[str], n: str = "n", most: int = 2000, least: int = 1_000) -> DataFrame:
     """rows joined to `first`, a stored table of one row a key in which `n` is how many rows hold the key. Keys that more than one in
     `most` of the rows hold are fewer than `most`, whatever the data: these are broadcast and their rows
     stay where they are. All other keys are shuffled, so no task gets more than that part of the rows for one key. Keys of up to `least` rows are never hot."""

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, fresh, grouped, materialize, mix, read, slices
+from .common import U64, WordHash, fresh, grouped, join_first, materialize, mix, read, slices
 from .components import components
 
 WIDTH = 5
@@ -339,19 +339,20 @@ def _leaves(reps: DataFrame, depth: int, bucket: int, deep_fan: float, dense: fl
     further would only repeat it, so it is compared as it is."""
     now, leaves = reps.select("node", "size", F.explode("keys").alias("key")), None
     for level in range(depth + 1):
-        counts = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).filter("n > 1")
-        counted = materialize(now.join(counts, "key").select("key", "node", "size", "n", "held"))
+        counts = materialize(now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).filter("n > 1"))
+        counted = materialize(join_first(now, counts, ["key"]).select("key", "node", "size", "n", "held"))
         done = (counted if level == depth else counted.filter(F.col("n") <= bucket)).select("key", "node", "n", "held")
         leaves = done if leaves is None else leaves.unionByName(done)
         large = counted.filter(F.col("n") > bucket)
         if level == depth or not large.head(1):
             break
         wide = materialize(large.join(reps.select("node", "sk"), "node").select("key", "node", "size", "n", "held", "sk"))
-        pivot = wide.groupBy("key").agg(F.min_by("sk", F.xxhash64("key", "node")).alias("pivot"))
-        like = wide.join(pivot, "key").select("key", "sk", "pivot").mapInArrow(_likeness, "key long, like double")
-        alike = materialize(like.groupBy("key").agg(F.avg("like").alias("like")).filter(F.col("like") >= dense).select("key"))
-        leaves = leaves.unionByName(wide.join(alike, "key", "left_semi").select("key", "node", "n", "held"))
-        now = materialize(wide.join(alike, "key", "left_anti").select("key", "node", "size", "sk").mapInArrow(_deeper(deep_fan), "key long, node long, size int").distinct())
+        pivot = materialize(wide.groupBy("key").agg(F.min_by("sk", F.xxhash64("key", "node")).alias("pivot"), F.count(F.lit(1)).alias("n")))
+        like = join_first(wide.select("key", "sk"), pivot, ["key"]).select("key", "sk", "pivot").mapInArrow(_likeness, "key long, like double")
+        like = materialize(like.groupBy("key").agg(F.avg("like").alias("like"), F.count(F.lit(1)).alias("n")))
+        known = materialize(join_first(wide.drop("n"), like, ["key"]))
+        leaves = leaves.unionByName(known.filter(F.col("like") >= dense).select("key", "node", "n", "held"))
+        now = materialize(known.filter(F.col("like") < dense).select("key", "node", "size", "sk").mapInArrow(_deeper(deep_fan), "key long, node long, size int").distinct())
     return leaves
 
 
