@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
 import re
 
 from pyspark.sql import Column
@@ -37,6 +36,22 @@ def last_segment(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
+def normal_path(path: Column) -> Column:
+    """A path without '.', empty segments and, as far as there is something before them, '..': of any depth."""
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), done), -1) != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
+
+
+def clean_symbol(symbol: Column) -> Column:
+    """The local name of an imported symbol: x of `* as x`."""
+    return F.regexp_replace(symbol, r"^\* as ", "")
+
+
 def entry_root(path: Column) -> Column:
     """A package's entry point without its src, lib or dist directory and what follows."""
     return F.regexp_replace(path, "/(?:src|lib|dist)(?:/.*)?$", "")
@@ -56,11 +71,6 @@ def fallback_tokens(text: Column, per: int = 4) -> Column:
     return F.floor(F.coalesce(F.octet_length(text), F.lit(0)) / per).cast("long")
 
 
-def clean_path(base: str, relative: str) -> str:
-    """A relative specifier against the directory of a file."""
-    return posixpath.normpath(posixpath.join(posixpath.dirname(base), relative))
-
-
 def truncate_input(signature: str, docstring: str, source: str, encode, decode, limit: int = 8191) -> tuple[str, int, bool]:
     """(text, tokens, truncated): what is embedded of a symbol. Beyond the limit the source is cut first, signature and
     docstring stay; if they alone exceed it, the whole is cut."""
@@ -78,9 +88,9 @@ def truncate_input(signature: str, docstring: str, source: str, encode, decode,
 
 # The Porter stemmer (M. F. Porter, "An algorithm for suffix stripping", 1980).
 _V = "[aeiou]|(?<=[^aeiou])y"
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP4 = "ement ance ence able ible ment ant ent ion ism ate iti ous ive ize al er ic ou"
+_STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
+_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+_STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou"]
 
 
 def _shape(w: str) -> str:
@@ -118,13 +128,12 @@ def stem(w: str) -> str:
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
     for table, least in ((_STEP2, 0), (_STEP3, 0)):
-        for pair in sorted(table.split(), key=lambda p: -len(p.split(":")[0])):
-            end, new = pair.split(":")
+        for end, new in sorted(table, key=lambda p: -len(p[0])):
             if w.endswith(end):
                 if _measure(w[: -len(end)]) > least:
                     w = w[: -len(end)] + new
                 break
-    for end in sorted(_STEP4.split(), key=len, reverse=True):
+    for end in sorted(_STEP4, key=len, reverse=True):
         if w.endswith(end):
             head = w[: -len(end)]
             if _measure(head) > 1 and (end != "ion" or head.endswith(("s", "t"))):

@@ -5,25 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import last_segment, package_dir, specifier_package, specifier_subpath
+from ..functions.text import clean_symbol, last_segment, normal_path, package_dir, specifier_package, specifier_subpath
 
 # Names that are never resolved to symbols of a project.
-NODE_BUILTINS = "assert buffer child_process cluster crypto dgram dns domain events fs http https net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls tty url util v8 vm worker_threads zlib console module".split()
-GLOBAL_CALLS = (
-    "console.log console.error console.warn console.info JSON.stringify JSON.parse Promise.resolve Promise.reject Promise.all "
-    "Math.round Math.floor Math.ceil Math.random parseInt parseFloat setTimeout setInterval clearTimeout clearInterval require super "
-    "make len cap append copy delete close panic recover new print println fmt.Sprintf fmt.Printf fmt.Println fmt.Fprintf fmt.Errorf"
-).split()
-GLOBAL_OWNERS = "console Math Object Array String Number Promise".split()
-BUILTIN_METHODS = (
-    "split replace replaceAll match trim trimStart trimEnd toLowerCase toUpperCase startsWith endsWith includes indexOf lastIndexOf slice substring "
-    "charAt charCodeAt padStart padEnd repeat normalize search at push pop shift unshift map filter reduce reduceRight find findIndex some every "
-    "forEach flat flatMap sort reverse concat join fill splice keys values entries hasOwnProperty toString valueOf toJSON toLocaleString then catch finally "
-    "get set has clear add getTime toISOString toDateString addEventListener removeEventListener querySelector querySelectorAll getAttribute setAttribute "
-    "createElement appendChild removeChild Error String Close Read Write Scan Next Err Rows"
-).split()
-TS_BUILTIN_TYPES = "string number boolean void null undefined any never unknown object symbol bigint".split()
-GO_BUILTIN_TYPES = "string int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 uintptr float32 float64 complex64 complex128 bool byte rune error any".split()
+NODE_BUILTINS = [
+    "assert", "buffer", "child_process", "cluster", "crypto", "dgram", "dns", "domain", "events", "fs", "http", "https", "net", "os", "path",
+    "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "sys", "timers", "tls", "tty", "url", "util",
+    "v8", "vm", "worker_threads", "zlib", "console", "module",
+]
+GLOBAL_CALLS = [
+    "console.log", "console.error", "console.warn", "console.info", "JSON.stringify", "JSON.parse", "Promise.resolve", "Promise.reject", "Promise.all",
+    "Math.round", "Math.floor", "Math.ceil", "Math.random", "parseInt", "parseFloat", "setTimeout", "setInterval", "clearTimeout", "clearInterval",
+    "require", "super", "make", "len", "cap", "append", "copy", "delete", "close", "panic", "recover", "new", "print", "println", "fmt.Sprintf",
+    "fmt.Printf", "fmt.Println", "fmt.Fprintf", "fmt.Errorf",
+]
+GLOBAL_OWNERS = [
+    "console", "Math", "Object", "Array", "String", "Number", "Promise",
+]
+BUILTIN_METHODS = [
+    "split", "replace", "replaceAll", "match", "trim", "trimStart", "trimEnd", "toLowerCase", "toUpperCase", "startsWith", "endsWith", "includes",
+    "indexOf", "lastIndexOf", "slice", "substring", "charAt", "charCodeAt", "padStart", "padEnd", "repeat", "normalize", "search", "at", "push", "pop",
+    "shift", "unshift", "map", "filter", "reduce", "reduceRight", "find", "findIndex", "some", "every", "forEach", "flat", "flatMap", "sort", "reverse",
+    "concat", "join", "fill", "splice", "keys", "values", "entries", "hasOwnProperty", "toString", "valueOf", "toJSON", "toLocaleString", "then", "catch",
+    "finally", "get", "set", "has", "clear", "add", "getTime", "toISOString", "toDateString", "addEventListener", "removeEventListener", "querySelector",
+    "querySelectorAll", "getAttribute", "setAttribute", "createElement", "appendChild", "removeChild", "Error", "String", "Close", "Read", "Write",
+    "Scan", "Next", "Err", "Rows",
+]
+TS_BUILTIN_TYPES = [
+    "string", "number", "boolean", "void", "null", "undefined", "any", "never", "unknown", "object", "symbol", "bigint",
+]
+GO_BUILTIN_TYPES = [
+    "string", "int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "uintptr", "float32", "float64", "complex64",
+    "complex128", "bool", "byte", "rune", "error", "any",
+]
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx"]
 ENTRY_FILES = ["src/index.ts", "src/index.tsx", "src/index.js", "src/index.jsx", "index.ts", "index.tsx", "index.js", "index.jsx", "main.go"]
 
@@ -79,11 +93,8 @@ def resolve_imports(imports: DataFrame, aliases: DataFrame, files: DataFrame, go
     relative specifiers are joined to the importing file's directory. Builtins of the platform are dropped."""
     src = imports.filter(~F.when(F.col("file_path").endswith(".go"), is_go_stdlib(F.col("specifier"))).otherwise(is_node_builtin(F.col("specifier"))))
     relative = F.col("specifier").startswith(".")
-    # a/b + ../c: one "x/.." at a time is a fixed number of rewrites for a fixed depth of paths.
-    joined = F.concat(F.regexp_replace("file_path", "/?[^/]*$", ""), F.lit("/"), F.col("specifier"))
-    for _ in range(12):
-        joined = F.regexp_replace(F.regexp_replace(joined, r"(^|/)\./", "$1"), r"(^|/)(?!\.\./)[^/]+/\.\.(/|$)", "$1")
-    rel = src.filter(relative).select("id", F.regexp_replace(joined, "^/|/$", "").alias("path"), F.lit(2).alias("rank"))
+    joined = normal_path(F.concat(F.regexp_replace("file_path", "/?[^/]*$", ""), F.lit("/"), F.col("specifier")))
+    rel = src.filter(relative).select("id", joined.alias("path"), F.lit(2).alias("rank"))
     bare = longest_prefix(src.filter(~relative).select("id", "specifier"), aliases, "specifier", "alias").filter("target is not null")
     named = bare.select("id", F.concat("target", F.expr("substring(specifier, length(alias) + 1)")).alias("path"), F.lit(1).alias("rank"))
     found = probe_files(rel.unionByName(named), files, "id")
@@ -98,33 +109,71 @@ def resolve_imports(imports: DataFrame, aliases: DataFrame, files: DataFrame, go
 
 def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
     """(id, target_id, tier) of calls (id, file_path, callee): a symbol of the same file, else of a file it imports, else the only one of that
-    name. nodes: (node_id, file_path, name); imports: (file_path, resolved_path). Calls of globals are dropped, and
+    name. nodes: (node_id, file_path, name); imports: (file_path, resolved_path) and, if known, symbols: an import that lists what it
+    imports is a source of these names alone, and of what is reached through them (`* as x`: of x.y). Calls of globals are dropped, and
     methods that builtin types have are not looked up everywhere."""
     own = calls.filter(~is_global_call(F.col("callee"))).withColumn("name", last_segment(F.col("callee")))
     here = own.join(nodes, ["file_path", "name"]).select("id", "node_id", F.lit(1).alias("tier"))
-    there = own.join(imports.select("file_path", "resolved_path").distinct(), "file_path").join(nodes.select(F.col("file_path").alias("resolved_path"), "name", "node_id"), ["resolved_path", "name"]).select("id", "node_id", F.lit(2).alias("tier"))
+    listed = F.coalesce("symbols", F.array()) if "symbols" in imports.columns else F.array().cast("array<string>")
+    linked = imports.select("file_path", "resolved_path", F.transform(listed, clean_symbol).alias("_symbols")).distinct()
+    named = (F.size("_symbols") == 0) | F.array_contains("_symbols", F.col("name")) | F.array_contains("_symbols", F.substring_index("callee", ".", 1))
+    there = own.join(linked, "file_path").filter(named).join(nodes.select(F.col("file_path").alias("resolved_path"), "name", "node_id"), ["resolved_path", "name"]).select("id", "node_id", F.lit(2).alias("tier"))
     single = nodes.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("node_id")).filter("n = 1").drop("n")
     everywhere = own.filter(~is_builtin_method_call(F.col("callee"))).join(single, "name").select("id", "node_id", F.lit(3).alias("tier"))
     return here.unionByName(there).unionByName(everywhere).groupBy("id").agg(F.min(F.struct("tier", "node_id")).alias("m")).select("id", F.col("m.node_id").alias("target_id"), F.col("m.tier").alias("tier"))
 
 
-def resolve_cross(refs: DataFrame, packages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(source_id, target_id, kind, weight): unresolved imports tied to packages of other workspaces. refs: (source_id, workspace_id, raw_import);
-    packages: (package_id, workspace_id, name, path); nodes: (node_id, package_id, file_path, start_line). A subpath is looked for under the package's path and its src,
-    an import of the package itself in its entry files, and either falls back to the package's first symbol."""
-    r = refs.select("source_id", F.col("workspace_id").alias("own"), "raw_import", specifier_package(F.col("raw_import")).alias("name"), specifier_subpath(F.col("raw_import")).alias("sub"))
+def cross_links(refs: DataFrame, packages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source_id, raw_import, target_id): unresolved imports tied to packages of other workspaces, of which the first (by id) that has a target
+    counts. refs: (source_id, workspace_id, raw_import, and kind, if there are others than imports); packages: (package_id, workspace_id, name,
+    path); nodes: (node_id, package_id, file_path, start_line). An import of the package itself is looked for in its entry files, and else is the
+    package's first symbol. A subpath is looked for as it is, under the package's path and under its src, and else is the first
+    file whose path is LIKE it (its own % and _ are wild); no such file, no link."""
+    r = refs.filter("kind = 'imports'") if "kind" in refs.columns else refs
+    r = r.select("source_id", F.col("workspace_id").alias("own"), "raw_import", specifier_package(F.col("raw_import")).alias("name"), specifier_subpath(F.col("raw_import")).alias("sub"))
     c = r.join(packages, "name").filter(F.col("own") != F.col("workspace_id")).drop("workspace_id")
-    tried = file_candidates(F.col("sub"))
-    tails = F.when(F.col("sub") == "", F.array(*[F.lit(e) for e in ENTRY_FILES])).otherwise(F.concat(tried, F.transform(tried, lambda x: F.concat(F.lit("src/"), x))))
-    exact = c.select("source_id", "raw_import", "package_id", "path", F.posexplode(tails).alias("pos", "tail")).withColumn("file_path", F.concat_ws("/", F.nullif("path", F.lit(".")), "tail"))
+    root = (F.coalesce("path", F.lit("")) == "") | (F.col("path") == ".")
+    under = lambda tail: F.when(root, tail).otherwise(F.concat("path", F.lit("/"), tail))
+    ends = [*EXTENSIONS, *["/index" + e for e in EXTENSIONS], ".go"]
+    at = lambda base: F.array(*[F.concat(base, F.lit(e)) for e in ends])
+    sub = F.col("sub")
+    by_sub = F.when(root, at(sub)).otherwise(F.concat(at(sub), at(under(sub)), at(under(F.concat(F.lit("src/"), sub)))))
+    tried = F.when(sub == "", F.transform(F.array(*[F.lit(e) for e in ENTRY_FILES]), under)).otherwise(by_sub)
+    # Each wanted (package, subpath) is looked for once, however many imports name it.
+    wanted = c.select("package_id", "path", "sub").distinct()
     own = nodes.filter("package_id is not null")
     # A file's first symbol stands for it, so a candidate meets one row.
-    heads = own.groupBy("package_id", "file_path").agg(F.min(F.struct("start_line", "node_id")).alias("h")).select("package_id", "file_path", "h.start_line", "h.node_id")
-    hits = exact.join(heads, ["package_id", "file_path"]).select("source_id", "raw_import", "pos", "package_id", "file_path", "start_line", "node_id")
-    any_of = own.groupBy("package_id").agg(F.min(F.struct("file_path", "start_line", "node_id")).alias("f"))
-    rest = c.join(any_of, "package_id").select("source_id", "raw_import", F.lit(1000).alias("pos"), "package_id", F.col("f.file_path").alias("file_path"), F.col("f.start_line").alias("start_line"), F.col("f.node_id").alias("node_id"))
-    best = hits.unionByName(rest).groupBy("source_id", "raw_import").agg(F.min(F.struct("pos", "package_id", "file_path", "start_line", "node_id")).alias("b"))
-    return best.select("source_id", F.col("b.node_id").alias("target_id"), F.lit("imports").alias("kind"), F.lit(0.5).alias("weight")).distinct()
+    heads = own.groupBy("package_id", "file_path").agg(F.min(F.struct("start_line", "node_id")).alias("h")).select("package_id", "file_path", F.struct("file_path", "h.start_line", "h.node_id").alias("h"))
+    exact = wanted.select("package_id", "sub", F.posexplode(tried).alias("pos", "file_path")).join(heads, ["package_id", "file_path"]).groupBy("package_id", "sub").agg(F.min_by("h", "pos").alias("h"))
+    open_ = wanted.join(exact, ["package_id", "sub"], "left_anti")
+    first = heads.groupBy("package_id").agg(F.min("h").alias("h"))
+    rest = open_.filter("sub = ''").join(first, "package_id").select("package_id", "sub", "h")
+    like = open_.filter("sub <> ''").join(heads, "package_id").filter(F.expr("file_path LIKE concat('%', sub, '%')")).groupBy("package_id", "sub").agg(F.min("h").alias("h"))
+    found = exact.unionByName(rest).unionByName(like)
+    best = c.select("source_id", "raw_import", "package_id", "sub").join(found, ["package_id", "sub"]).groupBy("source_id", "raw_import").agg(F.min_by("h", "package_id").alias("h"))
+    return best.select("source_id", "raw_import", F.col("h.node_id").alias("target_id"))
+
+
+def resolve_cross(refs: DataFrame, packages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source_id, target_id, kind, weight): the edges of cross_links()."""
+    return cross_links(refs, packages, nodes).select("source_id", "target_id", F.lit("imports").alias("kind"), F.lit(0.5).alias("weight")).distinct()
+
+
+def open_refs(refs: DataFrame, links: DataFrame) -> DataFrame:
+    """refs without those that links resolve; other kinds than imports stay."""
+    done = links.select("source_id", "raw_import").distinct()
+    if "kind" not in refs.columns:
+        return refs.join(done, ["source_id", "raw_import"], "left_anti").select(*refs.columns)
+    return refs.join(done.withColumn("kind", F.lit("imports")), ["source_id", "raw_import", "kind"], "left_anti").select(*refs.columns)
+
+
+def cross_counts(refs: DataFrame, links: DataFrame) -> DataFrame:
+    """One row (resolved, still_unresolved, edges)."""
+    done = links.select("source_id", "raw_import", F.lit(1).alias("_l"))
+    imports = F.col("kind") == "imports" if "kind" in refs.columns else F.lit(True)
+    hit = imports & F.col("_l").isNotNull()
+    both = refs.join(done, ["source_id", "raw_import"], "left").agg(F.count_if(hit).alias("resolved"), F.count_if(~hit).alias("still_unresolved"))
+    return both.join(F.broadcast(links.agg(F.count_distinct("source_id", "target_id").alias("edges"))), how="cross")  # one row each
 
 
 def package_pairs_of_files(imports: DataFrame) -> DataFrame:

@@ -470,21 +470,76 @@ def package_dir(spark, d):
 _REFS = "refs AS (SELECT concat('p:', p_partkey) AS source_id, p_partkey % 25 AS workspace_id, concat('@lib/', lower(replace(p_brand, '#', '')), CASE WHEN p_partkey % 3 = 0 THEN '/util' ELSE '' END) AS raw_import FROM part)"
 _PKGS = "pkgs AS (SELECT DISTINCT concat('k', lower(replace(p_brand, '#', ''))) AS package_id, p_size % 25 AS workspace_id, concat('@lib/', lower(replace(p_brand, '#', ''))) AS name, 'm' AS path FROM part WHERE p_size <= 3)"
 _TARGETS = "targets AS (SELECT concat('t:', p_partkey) AS node_id, concat('k', lower(replace(p_brand, '#', ''))) AS package_id, concat('m/', CASE p_partkey % 5 WHEN 0 THEN 'src/index.ts' WHEN 1 THEN 'src/util.ts' WHEN 2 THEN 'util/index.ts' ELSE concat('z', p_partkey, '.ts') END) AS file_path, CAST(p_partkey % 100 AS INT) AS start_line FROM part)"
-_TAILS = [*[("e", i, "m/" + f) for i, f in enumerate(resolve.ENTRY_FILES)], *[("s", i, "m/" + pre + "util" + x) for i, (pre, x) in enumerate([(p, x) for p in ("", "src/") for x in ["", *resolve.EXTENSIONS, *["/index" + e for e in resolve.EXTENSIONS]]])]]
+_ENDS = [*resolve.EXTENSIONS, *["/index" + e for e in resolve.EXTENSIONS], ".go"]
+_TAILS = [*[("e", i, "m/" + f) for i, f in enumerate(resolve.ENTRY_FILES)], *[("s", i, f) for i, f in enumerate(pre + "util" + x for pre in ("", "m/", "m/src/") for x in _ENDS)]]
+_LINKS = f"""{_REFS}, {_PKGS}, {_TARGETS}, tails AS (SELECT * FROM (VALUES {", ".join(f"('{a}', {i}, '{f}')" for a, i, f in _TAILS)}) AS v(sort, pos, file_path)),
+    c AS (SELECT r.source_id, r.raw_import, p.package_id, CASE WHEN r.raw_import LIKE '%/util' THEN 's' ELSE 'e' END AS sort FROM refs r JOIN pkgs p ON regexp_replace(r.raw_import, '/util$', '') = p.name AND r.workspace_id <> p.workspace_id),
+    h AS (SELECT c.source_id, c.raw_import, coalesce(x.pos, 1000) AS pos, t.package_id, t.file_path, t.start_line, t.node_id FROM c JOIN targets t ON c.package_id = t.package_id LEFT JOIN tails x ON x.sort = c.sort AND x.file_path = t.file_path
+      WHERE x.pos IS NOT NULL OR c.sort = 'e' OR t.file_path LIKE '%util%'),
+    b AS (SELECT *, row_number() OVER (PARTITION BY source_id, raw_import ORDER BY package_id, pos, file_path, start_line, node_id) AS k FROM h),
+    links AS (SELECT source_id, raw_import, node_id AS target_id FROM b WHERE k = 1)"""
 
 
-@query(
-    f"""WITH {_REFS}, {_PKGS}, {_TARGETS}, tails AS (SELECT * FROM (VALUES {", ".join(f"('{a}', {i}, '{f}')" for a, i, f in _TAILS)}) AS v(sort, pos, file_path)),
-    c AS (SELECT r.source_id, r.raw_import, p.package_id, CASE WHEN r.raw_import LIKE '%/util' THEN 's' ELSE 'e' END AS sort FROM refs r JOIN pkgs p ON regexp_replace(r.raw_import, '/util$', '') = p.name AND r.workspace_id <> p.workspace_id),
-    h AS (SELECT c.source_id, c.raw_import, coalesce(x.pos, 1000) AS pos, t.package_id, t.file_path, t.start_line, t.node_id FROM c JOIN targets t ON c.package_id = t.package_id LEFT JOIN tails x ON x.sort = c.sort AND x.file_path = t.file_path),
-    b AS (SELECT *, row_number() OVER (PARTITION BY source_id, raw_import ORDER BY pos, package_id, file_path, start_line, node_id) AS k FROM h)
-    SELECT DISTINCT source_id, node_id AS target_id, 'imports' AS kind, 0.5::DOUBLE AS weight FROM b WHERE k = 1"""
-)
-def cross_source_resolve(spark, d):
+def _cross(spark, d):
     part = table(spark, d, "part")
     part.createOrReplaceTempView("part")
     get = lambda cte: spark.sql(cte.partition(" AS (")[2][:-1])
-    return resolve.resolve_cross(get(_REFS), get(_PKGS), get(_TARGETS))
+    return get(_REFS), get(_PKGS), get(_TARGETS)
+
+
+@query(f"WITH {_LINKS} SELECT DISTINCT source_id, target_id, 'imports' AS kind, 0.5::DOUBLE AS weight FROM links")
+def cross_source_resolve(spark, d):
+    return resolve.resolve_cross(*_cross(spark, d))
+
+
+@query(f"WITH {_LINKS} SELECT r.source_id, r.workspace_id, r.raw_import FROM refs r WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.source_id = r.source_id AND l.raw_import = r.raw_import)")
+def cross_source_open_refs(spark, d):
+    refs, packages, nodes = _cross(spark, d)
+    return resolve.open_refs(refs, resolve.cross_links(refs, packages, nodes))
+
+
+@query(f"""WITH {_LINKS} SELECT count(l.target_id) AS resolved, count(*) - count(l.target_id) AS still_unresolved, (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id FROM links)) AS edges
+    FROM refs r LEFT JOIN links l ON l.source_id = r.source_id AND l.raw_import = r.raw_import""")
+def cross_source_counts(spark, d):
+    refs, packages, nodes = _cross(spark, d)
+    return resolve.cross_counts(refs, resolve.cross_links(refs, packages, nodes))
+
+
+# Paths and imports: each supplier has a file, and parts import them in relative and aliased ways.
+_FILES = "files AS (SELECT concat(CASE s_suppkey % 3 WHEN 0 THEN 'a/b/' WHEN 1 THEN 'a/' ELSE 'lib/src/' END, 'f', s_suppkey % 30, CASE s_suppkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '/index.ts' ELSE '.js' END) AS file_path FROM supplier)"
+_IMPORTS = """imports AS (SELECT p_partkey AS id, concat('a/b/x', p_partkey % 10, '.ts') AS file_path, CASE p_partkey % 6 WHEN 0 THEN concat('./f', p_size) WHEN 1 THEN concat('../f', p_size) WHEN 2 THEN concat('@lib/f', p_size)
+    WHEN 3 THEN concat('.././b/../../a/./b/f', p_size) WHEN 4 THEN concat('../f', p_size, '.js') ELSE 'node:fs' END AS specifier FROM part)"""
+_PROBES = [("", 0), *[(e, 1 + i) for i, e in enumerate(resolve.EXTENSIONS)], *[("/index" + e, 5 + i) for i, e in enumerate(resolve.EXTENSIONS)]]
+_PROBED = f"""{_FILES}, {_IMPORTS}, w AS (SELECT id, CASE id % 6 WHEN 0 THEN concat('a/b/', specifier[3:]) WHEN 1 THEN concat('a/', specifier[4:]) WHEN 2 THEN concat('lib/src/', specifier[6:]) WHEN 3 THEN concat('a/b/', regexp_extract(specifier, '[^/]*$')) WHEN 4 THEN concat('a/', specifier[4:]) END AS path FROM imports WHERE id % 6 < 5),
+    t AS (SELECT id, concat(path, e) AS file_path, pos FROM w CROSS JOIN (VALUES {", ".join(f"('{e}', {i})" for e, i in _PROBES)}) AS p(e, pos)
+      UNION ALL SELECT id, regexp_replace(path, '\\.js$', e), pos FROM w CROSS JOIN (VALUES ('.ts', 20), ('.tsx', 21)) AS p(e, pos) WHERE path LIKE '%.js'),
+    r AS (SELECT t.id, t.file_path AS resolved_path, row_number() OVER (PARTITION BY t.id ORDER BY pos) AS k FROM t JOIN (SELECT DISTINCT file_path FROM files) f ON f.file_path = t.file_path)"""
+
+
+def _resolved(spark, d):
+    files, imports = _over(spark, d, _FILES, _IMPORTS)
+    aliases = spark.createDataFrame([("@lib", "lib/src")], "alias string, target string")
+    return resolve.resolve_imports(imports, aliases, files)
+
+
+@query(f"WITH {_PROBED} SELECT i.id, i.file_path, i.specifier, r.resolved_path FROM imports i JOIN r ON r.id = i.id AND r.k = 1")
+def import_resolve(spark, d):
+    return _resolved(spark, d)[0].select("id", "file_path", "specifier", "resolved_path")
+
+
+@query(f"WITH {_PROBED} SELECT i.id, i.file_path, i.specifier FROM imports i WHERE i.id % 6 < 5 AND NOT EXISTS (SELECT 1 FROM r WHERE r.id = i.id)")
+def import_unresolved(spark, d):
+    return _resolved(spark, d)[1].select("id", "file_path", "specifier")
+
+
+@query(
+    """WITH paths AS (SELECT p_partkey AS id, concat('a/b', p_partkey % 3, '/', repeat('../', CAST(p_size % 4 AS INT)), './c', p_size % 5, '//d') AS path FROM part)
+    SELECT id, concat(CASE p_size WHEN 0 THEN concat('a/b', id % 3, '/') WHEN 1 THEN 'a/' WHEN 2 THEN '' ELSE '../' END, regexp_extract(path, 'c[0-9]'), '/d') AS path FROM paths JOIN (SELECT p_partkey, p_size % 4 AS p_size FROM part) USING (p_partkey)""".replace("SELECT p_partkey AS id, concat", "SELECT p_partkey, p_partkey AS id, concat")
+)
+def normal_paths(spark, d):
+    part = table(spark, d, "part")
+    path = F.concat(F.lit("a/b"), (F.col("p_partkey") % 3).cast("string"), F.lit("/"), F.repeat(F.lit("../"), (F.col("p_size") % 4).cast("int")), F.lit("./c"), (F.col("p_size") % 5).cast("string"), F.lit("//d"))
+    return part.select(F.col("p_partkey").alias("id"), tx.normal_path(path).alias("path"))
 
 
 # Calls and predicates: each part calls a name that a supplier's symbol has in some file.
