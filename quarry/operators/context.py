@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import materialize
+from ..functions.embedding import Provider, embed_one
 from ..schema import DEPENDENCY_KINDS
 from ..sources.adapters import Corpus
+from . import search
+from .limits import adaptive_k
 
 #: Fixed values: (fan-out, weight) of what a seed depends on, of what those depend on, and of what depends on the seed.
 OUT, OUT2, BACK = (5, 0.7), (3, 0.4), (3, 0.6)
@@ -77,7 +80,7 @@ def annotations(corpus: Corpus, ids: DataFrame) -> DataFrame:
 
 
 def render_node(n: dict) -> str:
-    """A node's section of the context text."""
+    """A node's section of the context text. A fixed format."""
     source = f" [source: {n['alias']}]" if n["alias"] else ""
     out = [f"### {n['file_path']} — {n['qualified_name']}{source} (similarity: {n['similarity']:.2f})", f"Signature: {n['signature']}"]
     out += [f"Docstring: {n['docstring']}"] if n["docstring"] else []
@@ -121,9 +124,8 @@ def pack(ranked: list[dict], budget: int, count: Callable[[str], int] = byte_tok
     return kept, used - HEADER_TOKENS
 
 
-def assemble(corpus: Corpus, hits: DataFrame, budget: int = BUDGET, count: Callable[[str], int] = byte_tokens) -> DataFrame:
-    """(query_id, n_nodes, n_tokens, token_limit, text) for each query of hits; a query's budget is `budget` over their number,
-    2000 at least, if there are several."""
+def _ranked(corpus: Corpus, hits: DataFrame) -> DataFrame:
+    """The ranked nodes of each query with their columns, place and notes."""
     best = rank(expand(corpus, hits))
     cols = [F.coalesce(c, F.lit("")).alias(c) if c in corpus.nodes.columns else F.lit("").alias(c) for c in ("file_path", "signature", "docstring", "source_code", "alias")]
     wide = best.join(corpus.nodes.select("node_id", F.coalesce("qualified_name", "name").alias("qualified_name"), *cols), "node_id")
@@ -132,7 +134,24 @@ def assemble(corpus: Corpus, hits: DataFrame, budget: int = BUDGET, count: Calla
     notes = annotations(corpus, wide.filter(F.col("place") <= ANNOTATED))
     none = F.array().cast("array<string>")
     four = ["called_by", "calls", "imported_by", "imports"]
-    rows = wide.join(notes, "node_id", "left").select(*wide.columns, *[F.when(F.col("place") <= ANNOTATED, F.coalesce(c, none)).otherwise(none).alias(c) for c in four])
+    return wide.join(notes, "node_id", "left").select(*wide.columns, *[F.when(F.col("place") <= ANNOTATED, F.coalesce(c, none)).otherwise(none).alias(c) for c in four])
+
+
+def packed(corpus: Corpus, hits: DataFrame, budget: int = BUDGET, count: Callable[[str], int] = byte_tokens) -> DataFrame:
+    """(query_id, place, node_id, full_source): the nodes that each query's context holds, in order."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept, _ = pack(pdf.sort_values("place").to_dict("records"), budget, count)
+        return pd.DataFrame([(n["query_id"], n["place"], n["node_id"], n["full_source"]) for n in kept], columns=["query_id", "place", "node_id", "full_source"])
+
+    rows = _ranked(corpus, hits)
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("query_id", "node_id")]
+    return rows.groupBy("query_id").applyInPandas(fold, f"query_id {kinds[0]}, place int, node_id {kinds[1]}, full_source boolean")
+
+
+def assemble(corpus: Corpus, hits: DataFrame, budget: int = BUDGET, count: Callable[[str], int] = byte_tokens, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, n_nodes, n_tokens, token_limit, text) for each query of hits, and for each of `queries` (query_id), if given: one without
+    hits has the fixed text. Each query has the whole budget."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, _ = pack(pdf.sort_values("place").to_dict("records"), budget, count)
@@ -140,8 +159,94 @@ def assemble(corpus: Corpus, hits: DataFrame, budget: int = BUDGET, count: Calla
         return pd.DataFrame([{"query_id": pdf["query_id"].iloc[0], "n_nodes": len(kept), "n_tokens": count(text), "token_limit": budget, "text": text}])
 
     kind = hits.schema["query_id"].dataType.simpleString()
-    return rows.groupBy("query_id").applyInPandas(fold, f"query_id {kind}, n_nodes long, n_tokens long, token_limit long, text string")
+    out = _ranked(corpus, hits).groupBy("query_id").applyInPandas(fold, f"query_id {kind}, n_nodes long, n_tokens long, token_limit long, text string")
+    if queries is None:
+        return out
+    rest = [F.coalesce("n_nodes", F.lit(0).cast("long")).alias("n_nodes"), F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), F.lit(budget).cast("long").alias("token_limit"), F.coalesce("text", F.lit(render([]))).alias("text")]
+    return queries.select("query_id").join(out, "query_id", "left").select("query_id", *rest)
 
 
 def explore_budget(budget: int, queries: int) -> int:
     return max(budget // max(queries, 1), LEAST_BUDGET)
+
+
+# From texts to contexts.
+
+
+def text_hits(corpus: Corpus, provider: Provider, texts: dict[int, str], project=None, keywords=None) -> tuple[DataFrame, dict[int, str]]:
+    """The hits of each text (query_id, node_id, similarity, seed_rank), as many as the project's size asks for, and the texts that
+    failed, with their errors. Texts are parameters: a few, embedded by the driver. Similarity is the fused score."""
+    size = corpus.nodes.filter(F.col("project_id") == project).count() if project is not None else corpus.nodes.count()
+    found, errors = None, {}
+    for i, text in texts.items():
+        try:
+            vector = embed_one(provider, text)
+        except Exception as x:  # noqa: BLE001 - one text's failure is its own section
+            errors[i] = str(x)
+            continue
+        top = search.hybrid_topk(corpus.nodes, vector, text, project=project, limit=adaptive_k(size), keywords=keywords)
+        top = top.select(F.lit(i).alias("query_id"), "node_id", F.col("score").alias("similarity"))
+        found = top if found is None else found.unionByName(top)
+    if found is None:
+        found = corpus.nodes.select(F.lit(0).alias("query_id"), "node_id", F.lit(0.0).alias("similarity")).limit(0)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "node_id"))  # of 25 rows at most
+    return materialize(found.withColumn("seed_rank", place)), errors
+
+
+def explore(corpus: Corpus, provider: Provider, texts: list[str], project=None, budget: int | None = None, count: Callable[[str], int] = byte_tokens, keywords=None) -> DataFrame:
+    """(query_id, query, n_nodes, n_tokens, token_limit, text, error) for each text; several share the budget, with a least one for each. The
+    budget is the default if none is given or it is not positive."""
+    if not texts:
+        raise ValueError("no query")
+    budget = BUDGET if not budget or budget <= 0 else budget
+    each = budget if len(texts) == 1 else explore_budget(budget, len(texts))
+    hits, errors = text_hits(corpus, provider, dict(enumerate(texts, 1)), project, keywords)
+    spark = corpus.nodes.sparkSession
+    asked = spark.createDataFrame([(i, t, errors.get(i)) for i, t in enumerate(texts, 1)], "query_id int, query string, error string")
+    out = assemble(corpus, hits, each, count, asked.select("query_id"))
+    text = F.when(F.col("error").isNull(), F.col("text"))
+    return asked.join(out, "query_id").select("query_id", "query", "n_nodes", "n_tokens", "token_limit", text.alias("text"), "error")
+
+
+def explore_text(rows: list) -> str:
+    """The one text of explore()'s rows: the context of a single query as it is, sections for several. A fixed format."""
+    rows = sorted(rows, key=lambda r: r["query_id"])
+    if len(rows) == 1:
+        if rows[0]["error"]:
+            raise RuntimeError(rows[0]["error"])
+        return rows[0]["text"]
+    parts = [f"## Query {r['query_id']}: {r['query']}\n\n" + (f"Error: {r['error']}\n\n" if r["error"] else f"{r['text']}\n\n---\n\n") for r in rows]
+    return "".join(parts)
+
+
+def distinct_sources(rows: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Each node's first row in `order` (for each of `by`), as the list of sources of an answer names it once."""
+    key = [*(by or []), "node_id"]
+    rest = [*order, *[c for c in rows.columns if c not in key and c not in order]]
+    first = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_f"))
+    return first.select(*[c if c in key else F.col(f"_f.{c}").alias(c) for c in rows.columns])
+
+
+def preamble(projects: DataFrame, sources: DataFrame, workspaces: DataFrame, packages: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, text) for each project: its name and description, its sources with up to five package names each, and how
+    many symbols and relationships it has. A fixed format."""
+    ws = workspaces.select(F.col("id").alias("workspace_id"), "source_id", "project_id")
+    names = packages.select("workspace_id", "name").join(ws, "workspace_id").groupBy("source_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    n = F.size("names")
+    some = F.array_join(F.slice("names", 1, 5), ", ")
+    listed = F.when(n > 5, F.concat(F.lit(" — "), n, F.lit(" packages: "), some, F.lit(", ..."))).when(n > 0, F.concat(F.lit(" — "), n, F.when(n == 1, " package: ").otherwise(" packages: "), some)).otherwise("")
+    line = F.concat(F.lit("- "), F.coalesce("alias", F.lit("")), F.lit(" ("), "source_type", F.lit(")"), listed, F.lit("\n"))
+    lines = sources.join(names, sources["id"] == names["source_id"], "left").select("project_id", F.struct(F.coalesce("alias", F.lit("")).alias("alias"), line.alias("line")).alias("s"))
+    lines = lines.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["line"]), "").alias("lines"))
+    own = nodes.select("node_id", "workspace_id").join(ws.select("workspace_id", "project_id"), "workspace_id")
+    n_nodes = own.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    n_edges = edges.select(F.col("source_id").alias("node_id")).join(own.select("node_id", "project_id"), "node_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    p = projects.select(F.col("id").alias("project_id"), "name", F.coalesce("description", F.lit("")).alias("description"))
+    p = p.join(lines, "project_id", "left").join(n_nodes, "project_id", "left").join(n_edges, "project_id", "left")
+    text = F.concat(
+        F.lit("## Project: "), "name", F.lit("\n"),
+        F.when(F.col("description") != "", F.concat(F.lit("Description: "), "description", F.lit("\n"))).otherwise(""),
+        F.when(F.col("lines").isNotNull(), F.concat(F.lit("\n### Sources\n"), "lines")).otherwise(""),
+        F.when(F.col("n_nodes") > 0, F.concat(F.lit("\n### Stats\n"), "n_nodes", F.lit(" code symbols, "), F.coalesce("n_edges", F.lit(0)), F.lit(" relationships\n"))).otherwise(""),
+    )
+    return p.select("project_id", text.alias("text"))
