@@ -9,6 +9,7 @@ NODES = (
     "signature string, start_line int, end_line int, source_code string, docstring string, body_hash string, embedding array<float>"
 )
 EDGES = "source_id string, target_id string, kind string, weight double, line_number int"
+FILES = "source_id string, file_path string, digest string"
 REFS = "source_id string, raw_import string, kind string, line_number int"
 
 #: Edge kinds that weigh 1; all others weigh 0.5.
