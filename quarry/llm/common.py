@@ -94,7 +94,7 @@ def without(columns: list[str], names: list[str]) -> list[str]:
     return [c for c in columns if c.lower() not in taken]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that few whole texts are Python objects at a time: `rows` rows, or texts of `size` bytes
     together (or one row, if it is longer)."""
     for batch in batches:
@@ -114,7 +114,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 <<
 class WordHash(dict):
     """Word (bytes or str) -> 64-bit hash, cached. Call trim() between documents: it bounds the memory."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

@@ -74,13 +74,14 @@ def fingerprints(digests: list[bytes], words: list[int], least: int | None) -> I
 
 
 def _marks(least: int | None):
-    fields = ["fp", "doc", "th", "pos", "keys", "ctx", "own", "at"]
+    fields = ["fp", "doc", "th", "pos", "n", "keys", "ctx", "own", "at"]
 
     def signed(data: bytes) -> int:
         return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        # A line is several rows' context: small slices keep few of them as Python objects.
+        for b in slices(batches, 128, 1 << 20):
             rows: list[tuple] = []
             for doc, th, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if not text:
@@ -91,18 +92,16 @@ def _marks(least: int | None):
                 short = [int.from_bytes(x[:8], "little", signed=True) for x in d]
                 for i, n, weighs in fingerprints(d, [len(raw[k].split()) for k in at], least):
                     own = b"".join(d[i : i + n])
-                    # The kinds differ in the length of what is hashed or in its first byte.
-                    keys = [(signed(b"=" + own), 0, 0)] if weighs else []
-                    if i + n < len(d):
-                        keys.append((signed(b">" + own + d[i + n]), 0, 1))
-                    if i:
-                        keys.append((signed(b"<" + d[i - 1] + own), 1, 0))
+                    # With the fingerprint alone, with the line after it, with the line before it. What is hashed differs in its first byte.
+                    keys = [
+                        signed(b"=" + own) if weighs else None,
+                        signed(b">" + own + d[i + n]) if i + n < len(d) else None,
+                        signed(b"<" + d[i - 1] + own) if i else None,
+                    ]
                     lo, hi = max(0, i - SPAN), i + n + SPAN
-                    keys = [{"key": k, "left": left, "right": n + right} for k, left, right in keys]
-                    rows.append((signed(own), doc, th, i, keys, short[lo:hi], i - lo, at[lo:hi]))
+                    rows.append((signed(own), doc, th, i, n, keys, short[lo:hi], i - lo, at[lo:hi]))
             if rows:
-                key = pa.struct([("key", pa.int64()), ("left", pa.int32()), ("right", pa.int32())])
-                types = [pa.int64(), b.schema.field(0).type, pa.int64(), pa.int32(), pa.list_(key), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32())]
+                types = [pa.int64(), b.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], fields)
 
     return run
@@ -119,10 +118,12 @@ def matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kept_start count the lines that have a word; `lines` are line numbers of the text; th is xxhash64 of the text."""
     src = docs.filter(F.col(text_col).isNotNull()).select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
-    marks = materialize(src.mapInArrow(_marks(words), f"fp long, doc {kind}, th long, pos int, keys array<struct<key:long,left:int,right:int>>, ctx array<long>, own int, at array<int>"))
+    marks = materialize(src.mapInArrow(_marks(words), f"fp long, doc {kind}, th long, pos int, n int, keys array<long>, ctx array<long>, own int, at array<int>"))
     often = materialize(marks.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    rows = join_first(marks, often, ["fp"]).select("doc", "th", "pos", "ctx", "own", "at", F.explode("keys").alias("k"))
-    rows = materialize(rows.select("k.key", "doc", "th", "pos", "k.left", "k.right", "ctx", "own", "at"))
+    marks = marks.withColumnRenamed("n", "lines")
+    rows = join_first(marks, often, ["fp"]).select("doc", "th", "pos", "lines", "ctx", "own", "at", F.posexplode("keys").alias("kind", "key")).filter("key is not null")
+    left, right = (F.col("kind") == 2).cast("int"), F.col("lines") + (F.col("kind") == 1).cast("int")
+    rows = materialize(rows.select("key", "doc", "th", "pos", left.alias("left"), right.alias("right"), "ctx", "own", "at"))
     # min() is combined within each task before the shuffle, so a hot key is a row for each task.
     place = F.struct("doc", "th", "pos", "ctx", "own")
     first = materialize(rows.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
