@@ -26,6 +26,15 @@ def file_context(nodes: DataFrame, project, file_path: str) -> DataFrame:
     return nodes.filter((F.col("project_id") == project) & (F.col("file_path") == file_path)).orderBy(F.asc_nulls_last("start_line"), "node_id")
 
 
+def with_sources(nodes: DataFrame, workspaces: DataFrame, sources: DataFrame) -> DataFrame:
+    """nodes (workspace_id, ...) with project_id and the alias of their source; empty where the workspace has none. workspaces: (id, project_id,
+    source_id); sources: (id, alias). Both are small next to nodes; Spark broadcasts them by their size."""
+    ws = workspaces.select(F.col("id").alias("_w"), F.col("project_id").alias("project_id"), F.col("source_id").alias("_s"))
+    own = ws.join(sources.select(F.col("id").alias("_i"), F.col("alias").alias("_alias")), F.col("_s") == F.col("_i"), "left")
+    kept = [c for c in nodes.columns if c not in ("project_id", "alias")]
+    return nodes.select(*kept).join(own, F.col("workspace_id") == F.col("_w")).select(*kept, "project_id", F.coalesce("_alias", F.lit("")).alias("alias"))
+
+
 def hop(edges: DataFrame, ids: DataFrame, kinds, direction: str) -> DataFrame:
     """(seed, node_id, kind, weight): the edges of the ids (column node_id), out or in."""
     own, other = ("source_id", "target_id") if direction == "out" else ("target_id", "source_id")
@@ -42,13 +51,14 @@ def related(corpus: Corpus, ids: DataFrame, kind: str, direction: str, limit: in
     return best.join(corpus.nodes.select(*NODE_COLUMNS), "node_id").select("seed", "rank", "weight", *NODE_COLUMNS)
 
 
-def reachable(corpus: Corpus, start: str, direction: str, max_depth: int | None = None, limit: int | None = None, kinds=DEPENDENCY_KINDS) -> DataFrame:
+def reachable(corpus: Corpus, start: str, direction: str, max_depth: int | None = None, limit: int | None = None, kinds=DEPENDENCY_KINDS, stored: bool = False) -> DataFrame:
     """The nodes that `start` depends on (direction out) or that depend on it (in), with their least depth. On a cycle, start is
-    among them."""
+    among them. The edges are read once for each level: stored says that they are a stored table; else their two columns are stored
+    first, unless one level is all."""
     depth = clamp_depth(max_depth)
     own, other = ("source_id", "target_id") if direction == "out" else ("target_id", "source_id")
     steps = corpus.edges.filter(F.col("kind").isin(list(kinds))).select(F.col(own).alias("a"), F.col(other).alias("b"))
-    steps = materialize(steps)  # not made distinct: each frontier is
+    steps = steps if stored or depth == 1 else materialize(steps)  # not made distinct: each frontier is
     seen = front = steps.filter(F.col("a") == start).select(F.col("b").alias("node_id")).distinct().withColumn("min_depth", F.lit(1))
     for level in range(2, depth + 1):
         front = front.join(steps, F.col("node_id") == F.col("a")).select(F.col("b").alias("node_id")).distinct().join(seen.select("node_id"), "node_id", "left_anti").withColumn("min_depth", F.lit(level))

@@ -176,6 +176,15 @@ def cross_counts(refs: DataFrame, links: DataFrame) -> DataFrame:
     return both.join(F.broadcast(links.agg(F.count_distinct("source_id", "target_id").alias("edges"))), how="cross")  # one row each
 
 
+def node_ids(refs: DataFrame, nodes: DataFrame, name: str = "source") -> DataFrame:
+    """refs with node_id: of the node with that qualified name (the least id of several), else the first node of the file with that path, else
+    null. nodes: (node_id, qualified_name, file_path, start_line)."""
+    by_name = nodes.filter("qualified_name is not null").groupBy(F.col("qualified_name").alias("_k")).agg(F.min("node_id").alias("_by_name"))
+    by_file = first_nodes(nodes.select("node_id", "file_path", "start_line")).select(F.col("file_path").alias("_f"), F.col("node_id").alias("_by_file"))
+    both = refs.join(by_name, F.col(name) == F.col("_k"), "left").join(by_file, F.col(name) == F.col("_f"), "left")
+    return both.select(*refs.columns, F.coalesce("_by_name", "_by_file").alias("node_id"))
+
+
 def package_pairs_of_files(imports: DataFrame) -> DataFrame:
     """The distinct pairs of package directories of imports (file_path, resolved_path)."""
     return imports.select(package_dir(F.col("file_path")).alias("source_dir"), package_dir(F.col("resolved_path")).alias("target_dir")).filter("source_dir <> '' and target_dir <> '' and source_dir <> target_dir").distinct()

@@ -691,3 +691,61 @@ def package_unset(spark, d):
 @query(f"WITH {ctes('nodes')}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY start_line NULLS LAST, node_id) AS k FROM nodes) SELECT file_path, node_id, start_line FROM r WHERE k = 1")
 def file_heads(spark, d):
     return resolve.first_nodes(commerce(spark, d).nodes).select("file_path", "node_id", "start_line")
+
+
+@query(
+    f"""WITH {ctes("nodes")}, n AS (SELECT node_id, qualified_name, file_path, start_line FROM nodes WHERE kind <> 'function'),
+    refs AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat(p_brand, '.', p_name) WHEN 1 THEN concat('lib/', p_partkey % 30, '.go') ELSE 'nothing' END AS source FROM part)
+    SELECT r.id, r.source, coalesce((SELECT min(node_id) FROM n WHERE n.qualified_name = r.source), (SELECT node_id FROM n WHERE n.file_path = r.source ORDER BY start_line NULLS LAST, node_id LIMIT 1)) AS node_id FROM refs r"""
+)
+def two_tier_ids(spark, d):
+    nodes = commerce(spark, d).nodes.filter("kind <> 'function'")
+    (refs,) = _over(spark, d, "refs AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat(p_brand, '.', p_name) WHEN 1 THEN concat('lib/', p_partkey % 30, '.go') ELSE 'nothing' END AS source FROM part)")
+    return resolve.node_ids(refs, nodes)
+
+
+@query(f"WITH {ctes('nodes')} SELECT n.node_id, r.n_regionkey AS project_id, CASE WHEN r.n_nationkey % 4 = 0 THEN '' ELSE r.n_name END AS alias FROM nodes n JOIN nation r ON r.n_nationkey = n.workspace_id")
+def nodes_with_sources(spark, d):
+    """Workspaces divisible by 4 have no source."""
+    nation = table(spark, d, "nation")
+    ws = nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("project_id"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_nationkey")).alias("source_id"))
+    sources = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("alias"))
+    return graph.with_sources(commerce(spark, d).nodes, ws, sources).select("node_id", "project_id", "alias")
+
+
+@query(
+    """SELECT p_partkey AS id, concat(CASE WHEN p_size % 3 = 0 THEN 'w1' ELSE concat('k', p_size) END, '/src/', p_brand, '.ts::', p_name) AS node_id, concat_ws(chr(10), CASE WHEN p_size % 2 = 0 THEN p_name END, p_type) AS input,
+    sha256(p_name) AS body_hash, CAST((strlen(p_name) // 4) AS BIGINT) AS n_tokens, concat('pkg/', p_brand) AS root, p_type AS symbol FROM part"""
+)
+def text_functions(spark, d):
+    part = table(spark, d, "part")
+    none = F.lit(None).cast("string")
+    package = F.when(F.col("p_size") % 6 == 0, "").when(F.col("p_size") % 3 == 0, none).otherwise(F.concat(F.lit("k"), F.col("p_size").cast("string")))
+    entry = F.concat(F.lit("pkg/"), "p_brand", F.when(F.col("p_size") % 2 == 0, "/src/index.ts").otherwise("/dist"))
+    return part.select(
+        F.col("p_partkey").alias("id"),
+        tx.node_id(package, F.lit("w1"), F.concat(F.lit("src/"), "p_brand", F.lit(".ts")), F.col("p_name")).alias("node_id"),
+        tx.join_parts(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(""), none, F.col("p_type")).alias("input"),
+        tx.body_hash(F.col("p_name")).alias("body_hash"),
+        tx.fallback_tokens(F.col("p_name")).alias("n_tokens"),
+        tx.entry_root(entry).alias("root"),
+        tx.clean_symbol(F.concat(F.when(F.col("p_size") % 2 == 0, "* as ").otherwise(""), "p_type")).alias("symbol"),
+    )
+
+
+@query(
+    """WITH r AS (SELECT concat('p:', p_partkey) AS source_id, p_partkey % 5 AS workspace_id, p_brand AS raw_import FROM part)
+    SELECT * FROM r WHERE workspace_id <> 2 UNION ALL SELECT concat('s:', s_suppkey), 2, 'left-pad' FROM supplier"""
+)
+def ref_replace(spark, d):
+    part, supplier = table(spark, d, "part"), table(spark, d, "supplier")
+    refs = part.select(F.concat(F.lit("p:"), "p_partkey").alias("source_id"), (F.col("p_partkey") % 5).alias("workspace_id"), F.col("p_brand").alias("raw_import"))
+    new = supplier.select(F.concat(F.lit("s:"), "s_suppkey").alias("source_id"), F.lit(2).cast("long").alias("workspace_id"), F.lit("left-pad").alias("raw_import"))
+    return store.replace_refs(refs, 2, new)
+
+
+@query("SELECT kind, count(*) AS n, sum(CASE WHEN kind IN ('contains', 'extends', 'implements', 'embeds') THEN 1.0 ELSE 0.5 END)::DOUBLE AS weight FROM (SELECT CASE p_size % 6 WHEN 0 THEN 'contains' WHEN 1 THEN 'extends' WHEN 2 THEN 'implements' WHEN 3 THEN 'embeds' WHEN 4 THEN 'calls' ELSE 'imports' END AS kind FROM part) GROUP BY kind")
+def edge_weights(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("contains", "extends", "implements", "embeds", "calls", "imports")]), (F.col("p_size") % 6 + 1).cast("int"))
+    e = table(spark, d, "part").select(kind.alias("kind")).withColumn("weight", store.edge_weight(F.col("kind")))
+    return e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))

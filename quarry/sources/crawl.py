@@ -110,7 +110,14 @@ def crawl(spark: SparkSession, root: str, is_code: bool = True, max_kb: int = MA
     return (out.filter(F.col("ext").isin(CODE_EXTENSIONS)) if is_code else out).select("file_path", "ext", "size", *(["content"] if content else []))
 
 
+def crawl_totals(spark: SparkSession, root: str, is_code: bool = True) -> DataFrame:
+    """One row (total, indexed, skipped): the files under root that Spark lists, and how many of them crawl() keeps."""
+    total = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.count(F.lit(1)).alias("total"))
+    return total.join(F.broadcast(crawl(spark, root, is_code).select(F.count(F.lit(1)).alias("indexed"))), how="cross").withColumn("skipped", F.col("total") - F.col("indexed"))  # one row each
+
+
 def crawl_stats(files: DataFrame) -> DataFrame:
+    """(ext, n, size)."""
     return files.groupBy("ext").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
 
 

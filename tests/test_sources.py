@@ -128,3 +128,31 @@ def test_stream_upserts(spark, tmp_path):
         q = upsert_stream(spark.readStream.schema(ddl).parquet(src), c, "packages", PACKAGES, ["package_id"] if "package_id" in PACKAGES else ["id"], "seq", str(tmp_path / "cp"))
         q.awaitTermination(120)
     assert {tuple(r)[:3] for r in c.table("packages", PACKAGES).select(F.col("id"), F.col("workspace_id"), F.col("name")).collect()} == {("a", "w", "y"), ("c", "w", "q")}
+
+
+def test_crawl_totals_and_directory_scan(spark, tmp_path):
+    root = put(tmp_path / "src", {"a.ts": "x", "b.md": "y", "node_modules/c.ts": "z", "sub/f.go": "u"})
+    assert tuple(crawl.crawl_totals(spark, root).first()) == (4, 2, 2)
+    put(tmp_path / "all", {"mono/.git/HEAD": "", "mono/package.json": '{"workspaces": ["p/*"]}', "pnpm/.git/HEAD": "", "pnpm/package.json": "{}", "pnpm/pnpm-workspace.yaml": "", "repo/.git/HEAD": "", "plain/x.txt": "", ".hidden/x": "", "file.txt": ""})
+    assert crawl.scan_directory(str(tmp_path / "all")) == [("mono", "monorepo"), ("plain", "directory"), ("pnpm", "monorepo"), ("repo", "git_repo")]
+
+
+def test_changed_since(spark, tmp_path):
+    from datetime import datetime
+
+    root = put(tmp_path / "src", {"old.ts": "x", "new.ts": "y", "new.md": "z"})
+    os.utime(f"{root}/old.ts", (1_000_000, 1_000_000))
+    assert [r.file_path for r in crawl.changed_since(spark, root, datetime(2001, 1, 1)).collect()] == ["new.ts"]
+
+
+def test_result_sinks(spark, tmp_path):
+    import json
+
+    from quarry.sources import sinks
+
+    df = spark.createDataFrame([(1, "a b", None), (22, None, 0.5)], "id int, name string, score double")
+    assert json.loads(sinks.json_document(df.orderBy("id"))) == [{"id": 1, "name": "a b"}, {"id": 22, "score": 0.5}]
+    assert sinks.table_text(df.orderBy("id")) == "ID  NAME  SCORE\n1   a b\n22        0.5\n"
+    assert list(sinks.events(["one", "two\nlines"])) == ["data: one\n\n", "data: two\ndata: lines\n\n", "data: [DONE]\n\n"]
+    sinks.write_json(df, f"file://{tmp_path}/out")
+    assert spark.read.json(f"file://{tmp_path}/out").count() == 2
