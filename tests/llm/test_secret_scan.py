@@ -22,7 +22,8 @@ def test_held_out_findings(detector):
     assert (p == y).mean() > 0.97 and (p & y).sum() > 0.97 * y.sum() and (p & y).sum() > 0.97 * p.sum()
 
 
-#: Forms that no generator draws: (line, its secret or None).
+#: Hand-written lines: (line, its secret or None). Some are like what the generator draws (assignments, exports, bearer), others are not (SG., AccountKey,
+#: netrc, GOCSPX, aws). Joined words were added to the generator after one of these lines had been missed.
 FORMS = [
     ("api_key=9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"),
     ("export TOKEN=hT7vQ2pLx9Zr4Kw8Nd", "hT7vQ2pLx9Zr4Kw8Nd"),
@@ -57,7 +58,7 @@ FORMS = [
 ]
 
 
-def test_forms_that_training_never_drew(detector):
+def test_hand_written_lines(detector):
     found = right = 0
     for line, secret in FORMS:
         c = q.candidates(line)
