@@ -22,10 +22,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from .common import fresh, join_first, materialize, read, slices, without
 
@@ -85,6 +88,12 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return runs.filter(F.col("n_words") >= min_words).select("doc", "th", "start", "end", "n_units", "n_words", F.col("kept.doc").alias("kept_doc"), F.col("kept.start").alias("kept_start"))
 
 
+@pandas_udf(StringType())
+def _cut(texts: pd.Series, bounds: pd.Series) -> pd.Series:
+    """The parts of each text between bounds start, end, start, end, ...; null where the text is null."""
+    return pd.Series(["".join(t[a:b] for a, b in zip(x[::2], x[1::2])) if isinstance(t, str) else None for t, x in zip(texts, bounds)], dtype=object)
+
+
 def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed", kept_col: str = "kept", **params) -> DataFrame:
     """docs with the text that is kept, and the spans (start, end) of the original text removed and kept, in order."""
     found = repeats(docs, id_col=id_col, text_col=text_col, **params)
@@ -96,7 +105,9 @@ def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", re
     starts = F.concat(F.array(F.lit(0)), removed["end"])
     ends = F.concat(removed["start"], F.array(F.char_length(text)))
     kept = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda x: x["end"] > x["start"])
-    new = F.when(F.col(r).isNull(), text).otherwise(F.array_join(F.transform(kept, lambda x: F.substring(text, x["start"] + 1, x["end"] - x["start"])), ""))
+    # Only texts that lose something go through Python, where cutting is linear; a substring for each span would read the text again and again.
+    cut = _cut(F.when(F.col(r).isNotNull(), text), F.when(F.col(r).isNotNull(), F.flatten(F.transform(kept, lambda x: F.array(x["start"], x["end"])))))
+    new = F.when(F.col(r).isNull(), text).otherwise(cut)
     return both.select(*[new.alias(c) if c == text_col else docs[c] for c in without(docs.columns, [removed_col, kept_col])], removed.alias(removed_col), F.when(text.isNotNull(), kept).alias(kept_col))
 
 

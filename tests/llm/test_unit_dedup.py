@@ -65,3 +65,14 @@ def test_cases(spark):
     assert [r.text for r in rows if r.doc_id == 70] == [""] and [r.text for r in rows if r.doc_id == 1] == [None]
     assert len([1 for r in rows if r.doc_id == 7 and r.removed == []]) == 2
     assert q.repeats(empty(spark)).count() == 0
+
+
+def test_a_long_text_with_many_removed_runs(spark):
+    """Every other unit of a long text repeats one of another document; non-ASCII, so offsets are code points."""
+    units = [f"Größe {i} ist hier zu lesen." for i in range(20_000)]
+    other = " ".join(x if i % 2 else f"own {i} stays." for i, x in enumerate(units))
+    docs = spark.createDataFrame([(1, " ".join(units)), (2, other)], "doc_id long, text string")
+    out = {r.doc_id: r for r in q.apply(docs, min_words=0).collect()}
+    assert out[1].text == " ".join(units) and len(out[2].removed) == 10_000
+    assert out[2].text.split() == " ".join(f"own {i} stays." for i in range(0, 20_000, 2)).split()
+    assert "".join(other[s.start : s.end] for s in out[2].kept) == out[2].text
