@@ -129,8 +129,8 @@ def test_store(spark):
 def test_text_functions(spark):
     df = spark.createDataFrame([(s,) for s in ("@co/pkg/sub/x", "@co/pkg", "lodash/fp", "react", "@scope")], "s string")
     assert [tuple(r) for r in df.select(tx.specifier_package(F.col("s")), tx.specifier_subpath(F.col("s"))).collect()][:4] == [("@co/pkg", "sub/x"), ("@co/pkg", ""), ("lodash", "fp"), ("react", "")]
-    p = spark.createDataFrame([(s,) for s in ("packages/core/src/a.ts", "x/internal/api/b.go", "cmd/myc/c.go", "src/a.ts")], "s string")
-    assert [r[0] for r in p.select(tx.package_dir(F.col("s"))).collect()] == ["packages/core", "x/internal/api", "cmd/myc", ""]
+    p = spark.createDataFrame([(s,) for s in ("packages/core/src/a.ts", "x/internal/api/b.go", "cmd/tool/c.go", "src/a.ts")], "s string")
+    assert [r[0] for r in p.select(tx.package_dir(F.col("s"))).collect()] == ["packages/core", "x/internal/api", "cmd/tool", ""]
     assert df.limit(1).select(tx.body_hash(F.lit("x"))).first()[0] == hashlib.sha256(b"x").hexdigest()
     assert [tx.stem(w) for w in ("caresses", "ponies", "relational", "hopping", "agreed", "happy", "conditional", "adjustable", "running")] == ["caress", "poni", "relat", "hop", "agre", "happi", "condit", "adjust", "run"]
     enc, dec = (lambda s: list(s)), "".join
