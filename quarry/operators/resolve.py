@@ -112,15 +112,22 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame) -> Dat
     name. nodes: (node_id, file_path, name); imports: (file_path, resolved_path) and, if known, symbols: an import that lists what it
     imports is a source of these names alone, and of what is reached through them (`* as x`: of x.y). Calls of globals are dropped, and
     methods that builtin types have are not looked up everywhere."""
-    own = calls.filter(~is_global_call(F.col("callee"))).withColumn("name", last_segment(F.col("callee")))
-    here = own.join(nodes, ["file_path", "name"]).select("id", "node_id", F.lit(1).alias("tier"))
+    own = calls.filter(~is_global_call(F.col("callee"))).select("id", "file_path", "callee")
+    # A file's calls of one callee have one answer, and a file's symbols of one name count by their least id: neither repeats in a join.
+    asked = own.select("file_path", "callee").distinct().withColumn("name", last_segment(F.col("callee")))
+    heads = nodes.groupBy("file_path", "name").agg(F.min("node_id").alias("node_id"), F.count(F.lit(1)).alias("n"))
+    found = lambda df, tier: df.select("file_path", "callee", F.struct(F.lit(tier).alias("tier"), "node_id").alias("m"))
+    here = found(asked.join(heads, ["file_path", "name"]), 1)
     listed = F.coalesce("symbols", F.array()) if "symbols" in imports.columns else F.array().cast("array<string>")
     linked = imports.select("file_path", "resolved_path", F.transform(listed, clean_symbol).alias("_symbols")).distinct()
     named = (F.size("_symbols") == 0) | F.array_contains("_symbols", F.col("name")) | F.array_contains("_symbols", F.substring_index("callee", ".", 1))
-    there = own.join(linked, "file_path").filter(named).join(nodes.select(F.col("file_path").alias("resolved_path"), "name", "node_id"), ["resolved_path", "name"]).select("id", "node_id", F.lit(2).alias("tier"))
-    single = nodes.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("node_id")).filter("n = 1").drop("n")
-    everywhere = own.filter(~is_builtin_method_call(F.col("callee"))).join(single, "name").select("id", "node_id", F.lit(3).alias("tier"))
-    return here.unionByName(there).unionByName(everywhere).groupBy("id").agg(F.min(F.struct("tier", "node_id")).alias("m")).select("id", F.col("m.node_id").alias("target_id"), F.col("m.tier").alias("tier"))
+    there = found(asked.join(linked, "file_path").filter(named).join(heads.select(F.col("file_path").alias("resolved_path"), "name", "node_id"), ["resolved_path", "name"]), 2)
+    single = heads.groupBy("name").agg(F.sum("n").alias("n"), F.min("node_id").alias("node_id")).filter("n = 1").drop("n")
+    everywhere = found(asked.filter(~is_builtin_method_call(F.col("callee"))).join(single, "name"), 3)
+    best = here.unionByName(there).unionByName(everywhere).groupBy(F.col("file_path").alias("_file"), F.col("callee").alias("_callee")).agg(F.min("m").alias("m"))
+    # A call without a file still has its name looked up everywhere.
+    answered = own.join(best, F.col("file_path").eqNullSafe(F.col("_file")) & (F.col("callee") == F.col("_callee")))
+    return answered.groupBy("id").agg(F.min("m").alias("m")).select("id", F.col("m.node_id").alias("target_id"), F.col("m.tier").alias("tier"))
 
 
 def cross_links(refs: DataFrame, packages: DataFrame, nodes: DataFrame) -> DataFrame:

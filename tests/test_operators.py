@@ -162,3 +162,34 @@ def test_resolution(spark):
     calls = spark.createDataFrame([(1, "f1", "go"), (2, "f4", "go"), (3, "f4", "x.only"), (4, "f4", "s.split"), (5, "f4", "console.log"), (6, "f5", "go")], "id int, file_path string, callee string")
     got = {r.id: (r.target_id, r.tier) for r in resolve.resolve_calls(calls, nodes, spark.createDataFrame([("f4", "f2")], "file_path string, resolved_path string")).collect()}
     assert got == {1: ("n1", 1), 2: ("n2", 2), 3: ("n3", 2)}
+
+
+def join_rows(df):
+    """The most rows that a join of an executed plan made."""
+    most, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        p = left.pop()
+        name = p.nodeName()
+        if "Join" in name and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            left.append(p.executedPlan())
+        elif name.endswith("QueryStage"):
+            left.append(p.plan())
+        kids = p.children()
+        left += [kids.apply(i) for i in range(kids.size())]
+    return most
+
+
+def test_calls_of_a_frequent_name_do_not_multiply(spark):
+    """300 symbols of one name in a file, and 400 calls of it there and in a file that imports it."""
+    nodes = spark.range(300).selectExpr("concat('n', id) AS node_id", "'f1' AS file_path", "'go' AS name")
+    more = spark.createDataFrame([("n900", "f3", "once"), ("n901", None, "lone"), ("n902", "f4", "lone2"), ("n903", None, "lone2")], "node_id string, file_path string, name string")
+    calls = spark.range(800).selectExpr("id", "CASE WHEN id < 400 THEN 'f1' ELSE 'f2' END AS file_path", "'x.go' AS callee")
+    odd = spark.createDataFrame([(900, None, "once"), (901, None, "go"), (902, "f1", None), (903, "f9", "lone"), (904, "f9", "lone2"), (5, "f9", "once"), (905, "f9", "once"), (905, "f2", "go")], "id long, file_path string, callee string")
+    imports = spark.createDataFrame([("f2", "f1", ["go"]), ("f2", "f1", ["* as x"]), ("f2", "f3", ["other"])], "file_path string, resolved_path string, symbols array<string>")
+    got = resolve.resolve_calls(calls.unionByName(odd), nodes.unionByName(more), imports)
+    rows = {r.id: (r.target_id, r.tier) for r in got.collect()}
+    want = {i: ("n0", 1 if i < 400 else 2) for i in range(800)}
+    assert rows == want | {900: ("n900", 3), 903: ("n901", 3), 905: ("n0", 2)}
+    assert join_rows(got) <= 810
