@@ -45,15 +45,20 @@ def _weighed(weight: float):
 
 
 def postings(nodes: DataFrame, weights: dict[str, float] | None = None, stemmed: bool = True) -> DataFrame:
-    """(bucket, lexeme, node_id, weight): each node's lexemes with the weight of the best field that has them."""
+    """(bucket, lexeme, node_id, weight): each node's lexemes with the weight of the best field that has them. Rows of nodes of the same
+    id are not merged here; match() does that."""
     weights = {f: w for f, w in (weights or FIELD_WEIGHTS).items() if f in nodes.columns}
-    # A field's words once, so a long text is as many rows as it has different words.
-    each = [F.transform(F.array_distinct(tokens(F.col(f))), _weighed(float(w))) for f, w in weights.items()]
-    words = nodes.select("node_id", F.explode(F.concat(*each)).alias("x")).select("node_id", "x.word", "x.weight")
-    if stemmed:
-        words = words.filter(~F.col("word").isin(STOP_WORDS)).withColumn("word", _stemmed("word"))
-    best = words.groupBy("node_id", F.col("word").alias("lexeme")).agg(F.max("weight").alias("weight"))
-    return best.select(F.pmod(F.xxhash64("lexeme"), F.lit(BUCKETS)).cast("int").alias("bucket"), "lexeme", "node_id", "weight")
+    held = nodes.select("node_id", *[tokens(F.col(f)).alias(f) for f in weights])
+    # A word counts once within its row, in the best field, so nothing has to be shuffled for that.
+    each, seen = [], F.array().cast("array<string>")
+    for w in sorted(set(weights.values()), reverse=True):
+        own = F.concat(*[F.col(f) for f in weights if weights[f] == w])
+        each.append(F.transform(F.array_except(own, seen), _weighed(float(w))))
+        seen = F.concat(seen, own)
+    words = held.select("node_id", F.explode(F.concat(*each)).alias("x")).select("node_id", F.col("x.word").alias("lexeme"), "x.weight")
+    if stemmed:  # words of one stem meet
+        words = words.filter(~F.col("lexeme").isin(STOP_WORDS)).withColumn("lexeme", _stemmed("lexeme")).groupBy("node_id", "lexeme").agg(F.max("weight").alias("weight"))
+    return words.select(F.pmod(F.xxhash64("lexeme"), F.lit(BUCKETS)).cast("int").alias("bucket"), "lexeme", "node_id", "weight")
 
 
 def store(found: DataFrame, path: str) -> None:
@@ -74,8 +79,10 @@ def match(found: DataFrame, text: str, *, stemmed: bool = True, limit: int | Non
     if not words:
         return found.select("node_id", F.lit(0.0).alias("rank")).limit(0)
     buckets = [F.pmod(F.xxhash64(F.lit(w)), F.lit(BUCKETS)).cast("int") for w in words]
-    some = found.filter(F.col("bucket").isin(buckets) & F.col("lexeme").isin(words))
-    out = some.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("s")).filter(F.col("n") == len(words)).select("node_id", (F.col("s") / len(words)).alias("rank"))
+    some = found.filter(F.col("bucket").isin(buckets) & F.col("lexeme").isin(words)).select("node_id", "lexeme", "weight")
+    # Dealt by node once, for both steps.
+    once = some.repartition("node_id").groupBy("node_id", "lexeme").agg(F.max("weight").alias("weight"))
+    out = once.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("s")).filter(F.col("n") == len(words)).select("node_id", (F.col("s") / len(words)).alias("rank"))
     return out if limit is None else out.orderBy(F.desc("rank"), "node_id").limit(limit)
 
 

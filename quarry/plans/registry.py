@@ -299,7 +299,7 @@ def approximate_topk(spark, d):
 @query(f"WITH {_DOCS} SELECT node_id FROM ({_words_sql(None)})")
 def postings_match(spark, d):
     """keyword_match by stored postings."""
-    return fulltext.match(_postings(adapters.documents(spark, d)), QUERY_TEXT, stemmed=False).select("node_id")
+    return fulltext.match(_postings(adapters.texts(spark, d)), QUERY_TEXT, stemmed=False).select("node_id")
 
 
 @query(ORACLE_SQL["keyword_rank"])

@@ -71,7 +71,12 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_EDGES)
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as nodes: kind is the language, alias the source, docstring the text."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("lang").alias("kind"), F.col("source").alias("alias"), F.col("text").alias("docstring"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as nodes: kind is the language, alias the source, docstring the text; with vectors where there are any."""
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    return d.join(e, d["doc_id"] == e["vec_id"], "left").select(d["doc_id"].alias("node_id"), d["lang"].alias("kind"), d["source"].alias("alias"), d["text"].alias("docstring"), e["embedding"])
+    """texts() with vectors where there are any."""
+    d, e = texts(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    return d.join(e, d["node_id"] == e["vec_id"], "left").select(*[d[c] for c in d.columns], e["embedding"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarry.functions import embedding
 from quarry.functions.text import stem
 from quarry.operators import context, fulltext, search
+from quarry.sources import adapters
 from quarry.sources.adapters import Corpus
 
 NODES = "node_id string, name string, qualified_name string, kind string, file_path string, start_line int, project_id int, alias string, signature string, docstring string, source_code string"
@@ -139,3 +140,20 @@ def test_cells_hold_every_vector_once(spark, tmp_path):
     each = search.approximate_topk_each(stored, centres, q, probes=10).collect()
     assert sorted(r.node_id for r in each if r.query_id == 1) == sorted(exact) and {r.query_id for r in each} == {1, 2}
     assert search.fit_centres(nodes.limit(0)).shape[0] == 0
+
+
+def test_postings_are_made_without_a_shuffle(spark, sf):
+    """Words meet within their row; nodes of the same id are merged by the search."""
+    rows = [("n1", "getUser", "auth.getUser user", "user auth sig", "user auth sig doc doc"), ("n2", None, None, "a the", "the b"), ("n3", "x", None, None, None), ("n3", None, None, "y", "x"), ("n3", "y", None, None, None), ("n4", "", None, None, "")]
+    nodes = spark.createDataFrame(rows, "node_id string, name string, qualified_name string, signature string, docstring string")
+    plain = fulltext.postings(nodes, stemmed=False)
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.node_id, r.lexeme, r.weight) for r in plain.filter("node_id < 'n3'").collect())
+    assert got == [("n1", "auth", 1.0), ("n1", "doc", 0.2), ("n1", "getuser", 1.0), ("n1", "sig", 0.4), ("n1", "user", 1.0), ("n2", "a", 0.4), ("n2", "b", 0.2), ("n2", "the", 0.4)]
+    assert [tuple(r) for r in fulltext.match(plain, "x y", stemmed=False).collect()] == [("n3", 1.0)]
+    assert fulltext.match(plain, "x y z", stemmed=False).count() == 0
+    ranks = {r.node_id: r.rank for r in fulltext.match(fulltext.postings(nodes), "sigs docs").collect()}
+    assert ranks == {"n1": pytest.approx(0.3)}
+    weights = {"docstring": 0.5, "name": 0.1}
+    assert {(r.lexeme, r.weight) for r in fulltext.postings(nodes, weights, False).filter("node_id = 'n3'").collect()} == {("x", 0.5), ("x", 0.1), ("y", 0.1)}
+    assert "Join" not in adapters.texts(spark, sf)._jdf.queryExecution().executedPlan().toString()
