@@ -63,8 +63,9 @@ def postings(nodes: DataFrame, weights: dict[str, float] | None = None, stemmed:
 
 def store(found: DataFrame, path: str) -> None:
     """postings as Parquet: a directory for each bucket, sorted by lexeme, so that a query's filter skips row groups. Rows are dealt by
-    lexeme and node, since one word may be in every node."""
-    dealt = found.repartition("bucket", F.pmod(F.xxhash64("node_id"), F.lit(8)))
+    lexeme and node, since one word may be in every node; a share over the session's advisory size is split further, so that what a
+    task sorts does not grow with the nodes that have a word."""
+    dealt = found.withColumn("part", F.pmod(F.xxhash64("node_id"), F.lit(8))).hint("rebalance", "bucket", "part").drop("part")
     dealt.sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 

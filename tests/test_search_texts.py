@@ -157,3 +157,19 @@ def test_postings_are_made_without_a_shuffle(spark, sf):
     weights = {"docstring": 0.5, "name": 0.1}
     assert {(r.lexeme, r.weight) for r in fulltext.postings(nodes, weights, False).filter("node_id = 'n3'").collect()} == {("x", 0.5), ("x", 0.1), ("y", 0.1)}
     assert "Join" not in adapters.texts(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_word_of_every_node_is_stored_by_several_tasks(spark, tmp_path):
+    """Shares over the advisory size are split, beyond the eight that a bucket is dealt over."""
+    nodes = spark.range(0, 40_000, 1, 16).selectExpr("concat('n', id) AS node_id", "'same' AS name")
+    key, path = "spark.sql.adaptive.advisoryPartitionSizeInBytes", f"file://{tmp_path}/postings"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4k")
+    try:
+        fulltext.store(fulltext.postings(nodes, stemmed=False), path)
+    finally:
+        spark.conf.set(key, before)
+    stored = fulltext.load(spark, path)
+    assert stored.count() == stored.select("node_id").distinct().count() == 40_000
+    assert stored.select(F.input_file_name()).distinct().count() > 16
+    assert fulltext.match(stored, "same", stemmed=False).count() == 40_000
